@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostrum.llm import terms, tokens
+from rostrum.llm import encoding, leaks, sentences, terms, tokens, turns
 from rostrum.plans.session import table
 
 
@@ -19,6 +19,44 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_terms(spark, sf_dir).where(F.col("mark").isNotNull()).select("field", "term", "mark")
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of both tables; those of speeches with their medium."""
+    speeches = table(spark, sf_dir, "speeches").select(F.lit("speeches").alias("src_table"), "row_id", "text", "medium")
+    inaugural = table(spark, sf_dir, "inaug_speeches").select(F.lit("inaug_speeches").alias("src_table"), "row_id", "text", F.lit("text").alias("medium"))
+    return speeches.unionByName(inaugural)
+
+
+def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _texts(spark, sf_dir).select(F.struct("src_table", "row_id").alias("key"), "text")
+    found = encoding.find_garbled(rows, "key")
+    return found.select("key.src_table", "key.row_id", "restored", "is_whole")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_restored(spark, sf_dir).select("src_table", "row_id")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _texts(spark, sf_dir).where("medium = 'text'")
+    return sentences.split_sentences(rows, sentences.learn(rows), ["src_table", "row_id"])
+
+
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.speaker_turns(table(spark, sf_dir, "speeches").where("medium = 'transcript'"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_pieces(spark, sf_dir).where("turn_in_paragraph is not null").select("speech_id", "paragraph", "turn_in_paragraph", "speaker")
+
+
+def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_spans(spark, sf_dir).select("doc_id", "item_id")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -34,7 +72,10 @@ P1 = (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_terms": p1_terms, "p1_found": p1_found, "p6_ids": p6_ids}
+    return {
+        "p1_terms": p1_terms, "p1_found": p1_found, "p3_restored": p3_restored, "p3_found": p3_found, "p4_found": p4_found,
+        "p5_pieces": p5_pieces, "p5_found": p5_found, "p6_ids": p6_ids, "p7_spans": p7_spans, "p7_found": p7_found,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
