@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostrum.llm import encoding, leaks, sentences, terms, tokens, turns
+from rostrum.llm import encoding, leaks, sentences, subjects, terms, tokens, turns
 from rostrum.plans.session import table
 
 
@@ -19,6 +19,14 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_terms(spark, sf_dir).where(F.col("mark").isNotNull()).select("field", "term", "mark")
 
 
+def p2_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.subject_areas(*(table(spark, sf_dir, t) for t in ("speeches", "speech_labels", "subject_areas")))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_subjects(spark, sf_dir).select("speech_id", "subject")
+
+
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The texts of both tables; those of speeches with their medium."""
     speeches = table(spark, sf_dir, "speeches").select(F.lit("speeches").alias("src_table"), "row_id", "text", "medium")
@@ -73,7 +81,7 @@ P1 = (
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "p1_terms": p1_terms, "p1_found": p1_found, "p3_restored": p3_restored, "p3_found": p3_found, "p4_found": p4_found,
+        "p1_terms": p1_terms, "p1_found": p1_found, "p2_subjects": p2_subjects, "p2_found": p2_found, "p3_restored": p3_restored, "p3_found": p3_found, "p4_found": p4_found,
         "p5_pieces": p5_pieces, "p5_found": p5_found, "p6_ids": p6_ids, "p7_spans": p7_spans, "p7_found": p7_found,
     }
 
