@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostrum.llm import encoding, leaks, sentences, subjects, terms, tokens, turns
+from rostrum.llm import abuse, encoding, leaks, sentences, subjects, terms, tokens, turns
 from rostrum.plans.session import table
 
 
@@ -65,6 +65,18 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_spans(spark, sf_dir).select("doc_id", "item_id")
 
 
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.content_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_scores(spark, sf_dir).where("flagged").select("doc_id", "kind")
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.rates(p8_scores(spark, sf_dir))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -83,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_terms": p1_terms, "p1_found": p1_found, "p2_subjects": p2_subjects, "p2_found": p2_found, "p3_restored": p3_restored, "p3_found": p3_found, "p4_found": p4_found,
         "p5_pieces": p5_pieces, "p5_found": p5_found, "p6_ids": p6_ids, "p7_spans": p7_spans, "p7_found": p7_found,
+        "p8_scores": p8_scores, "p8_found": p8_found, "p8_rates": p8_rates,
     }
 
 
