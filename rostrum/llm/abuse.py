@@ -72,8 +72,7 @@ class KneserNey:
     """An interpolated Kneser-Ney model of one class, whose lowest order is shared by all classes."""
 
     def __init__(self, texts: list[list[str]], order: int, discount: float, shared: Counter, vocabulary: int):
-        self.order, self.discount = order, discount
-        self.shared, self.shared_total, self.vocabulary = shared, sum(shared.values()), vocabulary
+        self.order = order
         counts: list[dict[tuple, Counter]] = [defaultdict(Counter) for _ in range(order)]
         for t in texts:
             padded = ("<s>",) * (order - 1) + tuple(t) + ("</s>",)
@@ -84,30 +83,40 @@ class KneserNey:
             for context, following in counts[n].items():
                 for w in following:
                     counts[n - 1][context[1:]][w] += 1
-        self.tables = [{c: (dict(f), sum(f.values())) for c, f in level.items()} for level in counts]
-
-    def base(self, w: str) -> float:
-        """Shared backoff: how many different neighbours a word has in all classes together."""
-        n = self.shared.get(w, 0)
-        d = self.discount
-        return (max(n - d, 0.0) + d * len(self.shared) / self.vocabulary) / (self.shared_total or 1)
-
-    def probability(self, w: str, context: tuple) -> float:
-        p = self.base(w)
-        for n in range(self.order):
-            c = context[len(context) - n :] if n else ()
-            found = self.tables[n].get(c)
-            if found:
-                following, total = found
-                p = max(following.get(w, 0) - self.discount, 0.0) / total + self.discount * len(following) / total * p
-        return p
+        # Shared backoff below all: how many different neighbours a word has in all classes together.
+        total = sum(shared.values()) or 1
+        spread = discount * len(shared) / vocabulary / total
+        base = {w: max(n - discount, 0.0) / total + spread for w, n in shared.items()}
+        self.unseen = math.log(spread) if spread else -20.0
+        self.base = {w: math.log(p) for w, p in base.items()}
+        self.seen: dict[tuple, float] = {}
+        self.backoff: dict[tuple, float] = {}
+        for level in counts:
+            for context, following in level.items():
+                n = sum(following.values())
+                left = discount * len(following) / n
+                self.backoff[context] = math.log(left)
+                for w, k in following.items():
+                    self.seen[(*context, w)] = math.log(max(k - discount, 0.0) / n + left * math.exp(self._log(context[1:], w) if context else self.base.get(w, self.unseen)))
+
+    def _log(self, context: tuple, w: str) -> float:
+        weight = 0.0
+        while True:
+            if (p := self.seen.get((*context, w))) is not None:
+                return weight + p
+            weight += self.backoff.get(context, 0.0)
+            if not context:
+                return weight + self.base.get(w, self.unseen)
+            context = context[1:]
 
     def log_likelihood(self, text: list[str]) -> float:
         """Length-normalised: the mean over the words and the end."""
-        context, total = ("<s>",) * (self.order - 1), 0.0
-        for w in (*text, "</s>"):
-            total += math.log(self.probability(w, context))
-            context = (*context, w)[1:]
+        size = self.order - 1
+        padded = ("<s>",) * size + tuple(text) + ("</s>",)
+        seen, total = self.seen, 0.0
+        for i in range(size, len(padded)):
+            p = seen.get(padded[i - size : i + 1])
+            total += p if p is not None else self._log(padded[i - size : i], padded[i])
         return total / (len(text) + 1)
 
 
