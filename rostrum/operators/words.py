@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rostrum.functions.text import FILLERS_SHORT, is_punctuation, or_nan, remove_literals, treebank_tokens, year_of
+from rostrum.plans.session import spread
 
 # Closed classes of English by tag.
 CLOSED = {
@@ -34,7 +35,12 @@ def _lookup(table: dict[str, str], key: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
 
 
-_TAGS = {w: tag for tag, words in CLOSED.items() for w in words.split()}
+def _closed(low: Column) -> Column:
+    out = None
+    for name, members in CLOSED.items():
+        hit = low.isin(members.split())
+        out = F.when(hit, name) if out is None else out.when(hit, name)
+    return out
 
 
 def tag(token: Column, before: Column) -> Column:
@@ -51,7 +57,7 @@ def tag(token: Column, before: Column) -> Column:
         .when(low == "her", F.when(prior.isin("", "to", "for", "with", "of", "told", "gave", "and"), "PRP").otherwise("PRP$"))
         .when(low == "that", F.when(prior.rlike("(?:s|ed|y|t)$"), "IN").otherwise("DT"))
         .when(low.isin("will", "might", "can", "may", "need") & determined, "NN")
-        .when(_lookup(_TAGS, low).isNotNull(), _lookup(_TAGS, low))
+        .when(low.isin([w for ws in CLOSED.values() for w in ws.split()]), _closed(low))
         .when(token.rlike(r"^[\p{N}][\p{N}.,/-]*$"), "CD")
         .when((prior == "to") & ~token.rlike(r"^\p{Lu}") & ~low.rlike("(?:s|ing|ed|ion)$"), "VB")
         .when(token.rlike(r"^\p{Lu}") & (prior != "") & ~prior.isin(".", "!", "?", "``"), F.when(low.rlike("[^s]s$"), "NNPS").otherwise("NNP"))
@@ -86,7 +92,7 @@ def lemma(token: Column, pos: Column) -> Column:
         .otherwise(low)
     )
     regular = F.when(kind == "V", verb).when(kind == "N", noun).otherwise(low)
-    return F.when(kind.isin("V", "N", "J"), F.coalesce(_lookup(IRREGULAR, low), regular)).otherwise(low)
+    return F.when(kind.isin("V", "N", "J"), F.when(low.isin(list(IRREGULAR)), _lookup(IRREGULAR, low)).otherwise(regular)).otherwise(low)
 
 
 def word_table(
@@ -98,7 +104,7 @@ def word_table(
     ``lower_lemma=False`` keeps the source's case in lemmas whose form is unchanged. One lazy map, no shuffle.
     """
     text = remove_literals(or_nan(F.col("text"), mode), FILLERS_SHORT)
-    rows = speeches.select(*keys, year_of(F.col("date")).alias("year"), treebank_tokens(text).alias("_tokens"))
+    rows = spread(speeches).select(*keys, year_of(F.col("date")).alias("year"), treebank_tokens(text).alias("_tokens"))
     tagged = F.transform("_tokens", lambda t, i: F.struct(t.alias("t"), F.when(i > 0, F.get("_tokens", i - 1)).alias("b")))
     rows = rows.select(*keys, "year", F.explode(tagged).alias("x")).where(~is_punctuation(F.col("x.t")))
     token = F.col("x.t")

@@ -54,3 +54,12 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f"{root.name}/{f.relative_to(root)}")
     sc.addPyFile(str(archive))
     sc._rostrum_shipped = True
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over all cores where a scan of few or small files would leave most of them idle.
+
+    A large input comes in more splits than there are cores and passes as it is, without a shuffle.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(2 * cores) if rows.rdd.getNumPartitions() < cores else rows
