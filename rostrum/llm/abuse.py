@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rostrum.llm import sentences
+from rostrum.plans.session import spread
 
 KINDS = ("abusive", "hateful", "sexual")
 ORDINARY = "ordinary"
@@ -292,7 +293,7 @@ def content_scores(docs: DataFrame, labels: DataFrame, s: Settings = Settings())
     periods = sentences.learn(docs)
     detector = fit(rows, periods, s)
     shared = spark.sparkContext.broadcast(detector)
-    source = docs.select("doc_id", "source", "text").toDF("_id", "_source", "_text")
+    source = spread(docs.select("doc_id", "source", "text").toDF("_id", "_source", "_text"))
     kind = dict(source.dtypes)["_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,6 +13,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from rostrum.plans.session import spread
+
 #: Words of a shard's index, about; a longer single text is a shard of its own.
 SHARD_WORDS = 400_000
 #: Passages looked for in one pass over the corpus; more are taken in further passes.
@@ -281,7 +283,7 @@ def find_leaks(
     BLOCK_ITEMS, each one pass, so what is broadcast is bounded whatever the number of passages.
     """
     spark = docs.sparkSession
-    source = docs.select(key, text).toDF("_key", "_text").where("_text is not null")
+    source = spread(docs.select(key, text).toDF("_key", "_text").where("_text is not null"))
     kinds = dict(docs.dtypes)[key], dict(items.dtypes)[item]
     schema = f"`{key}` {kinds[0]}, `{item}` {kinds[1]}, spans array<array<int>>"
     named = items.select(item, passage).toDF("_item", "_text").where("_text is not null")

@@ -10,6 +10,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from rostrum.plans.session import spread
+
 #: Fixed value: the published pre-tokenizer pattern of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -171,7 +173,7 @@ def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", voca
     spark = docs.sparkSession
     with open(vocabulary, "rb") as f:
         data = spark.sparkContext.broadcast(f.read())
-    source = docs.select(key, text).toDF("_key", "_text")
+    source = spread(docs.select(key, text).toDF("_key", "_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = hash(data.value)
