@@ -94,6 +94,9 @@ class _Page(HTMLParser):
                 self.close()
             self.close()
         if any(t == tag for t, _ in self.stack):
+            if tag not in ("p", "a", "span", "b", "i", "em", "strong"):  # the end of a container ends its open paragraphs
+                while self.open:
+                    self.close()
             while self.stack.pop()[0] != tag:
                 pass
 
