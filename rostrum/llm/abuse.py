@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -187,6 +188,8 @@ def fit(labelled: list[tuple[int, str, set[str]]], periods: sentences.Model, s:
     docs = [(i, split(t, periods), kinds) for i, t, kinds in labelled]
     if not any(kinds for _, _, kinds in docs):
         return None
+    folds = random.Random(len(docs))
+    fold_of = [folds.randrange(s.folds) for _ in docs]
     vocabulary = Counter(w for _, ss, _ in docs for t in ss for w in t)
     neighbours: dict[str, set[str]] = defaultdict(set)
     for _, ss, _ in docs:
@@ -209,14 +212,14 @@ def fit(labelled: list[tuple[int, str, set[str]]], periods: sentences.Model, s:
     def toxic(given: dict[tuple[int, int], str | None], skip: int | None) -> dict[str, list[list[str]]]:
         parts: dict[str, list[list[str]]] = {k: [] for k in KINDS}
         for d, (_, ss, kinds) in enumerate(docs):
-            if kinds and (skip is None or d % s.folds != skip):
+            if kinds and (skip is None or fold_of[d] != skip):
                 for j, t in enumerate(ss):
                     for k in [given[d, j]] if given and given[d, j] else [] if given else kinds:
                         parts[k].append(t)
         return parts
 
     def ordinary(given: dict[tuple[int, int], str | None], skip: int | None) -> list[list[str]]:
-        return [t for d, (_, ss, kinds) in enumerate(docs) if skip is None or d % s.folds != skip for j, t in enumerate(ss) if not kinds or (given and not given[d, j])]
+        return [t for d, (_, ss, kinds) in enumerate(docs) if skip is None or fold_of[d] != skip for j, t in enumerate(ss) if not kinds or (given and not given[d, j])]
 
     given: dict[tuple[int, int], str | None] = {}
     detector = Detector({}, dict(lexicon), {}, periods, s.min_words, s.min_evidence / 2)
@@ -226,7 +229,7 @@ def fit(labelled: list[tuple[int, str, set[str]]], periods: sentences.Model, s:
         for fold in range(s.folds):
             detector.models, detector.kept = train(toxic(given, fold)) | {ORDINARY: plain}, {}
             for d, (_, ss, kinds) in enumerate(docs):
-                if kinds and d % s.folds == fold:
+                if kinds and fold_of[d] == fold:
                     for j, t in enumerate(ss):
                         got = detector.gains(detector.unmask(t)) if len(t) >= s.min_words else {}
                         top = max(sorted(kinds), key=lambda k: got.get(k, -9.0))
@@ -238,7 +241,7 @@ def fit(labelled: list[tuple[int, str, set[str]]], periods: sentences.Model, s:
     for fold in range(s.folds):
         detector.models, detector.kept = train(toxic(given, fold) | {ORDINARY: ordinary(given, fold)}), {}
         for d, (_, ss, kinds) in enumerate(docs):
-            if d % s.folds == fold:
+            if fold_of[d] == fold:
                 best = {k: -9.0 for k in KINDS}
                 for t in ss:
                     if len(t) >= s.min_words:
@@ -278,7 +281,8 @@ def content_scores(docs: DataFrame, labels: DataFrame, s: Settings = Settings())
     ``score`` is the highest length-normalised log-likelihood gain of a sentence of that kind over ordinary text
     (null if no sentence fits the kind best); ``flagged`` says whether it reaches the kind's threshold.
 
-    A document counts as labelled with a kind if more raters say 1 than 0; nulls are no votes. Null, empty and
+    A document counts as labelled with a kind if more raters say 1 than 0; nulls are no votes, and a document
+    without a vote on some kind and without a flag is not fitted on. Null, empty and
     wordless texts are scored null and unflagged; repeated texts each for themselves; without any positive label
     everything is null. Other columns are ignored.
 
@@ -287,7 +291,8 @@ def content_scores(docs: DataFrame, labels: DataFrame, s: Settings = Settings())
     """
     spark = docs.sparkSession
     votes = [(F.sum(F.when(F.col(k) == 1, 1).when(F.col(k) == 0, -1).otherwise(0)) > 0).alias(k) for k in KINDS]
-    judged = labels.where("doc_id is not null").groupBy("doc_id").agg(*votes).orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.max_labelled)
+    told = F.least(*[F.count(k) for k in KINDS]).alias("told")
+    judged = labels.where("doc_id is not null").groupBy("doc_id").agg(*votes, told).where("told > 0 or abusive or hateful or sexual").orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.max_labelled)
     sample = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(judged), "doc_id")
     rows = [(r["doc_id"], r["text"], {k for k in KINDS if r[k]}) for r in sample.orderBy("doc_id").toLocalIterator()]
     periods = sentences.learn(docs)

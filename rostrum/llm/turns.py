@@ -6,7 +6,7 @@ import math
 import re
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -252,9 +252,9 @@ def is_roster(text: str) -> bool:
     return bool(_ROSTER.match(text))
 
 
-def _block_pieces(group: pd.DataFrame) -> pd.DataFrame:
+def _block_pieces(group: pa.Table) -> pa.Table:
     """The pieces of one block of a speech, and in ``last`` the last speaker known at its end."""
-    first = group.iloc[0]
+    first = group.slice(0, 1).to_pylist()[0]
     president = last_name(first["president"])
     counts: dict[tuple[str, str], int] = {(e["role"], e["name"]): e["n"] for e in (first["events"] if first["events"] is not None else [])}
     for e in _cast_events("", first["title"]):
@@ -264,17 +264,17 @@ def _block_pieces(group: pd.DataFrame) -> pd.DataFrame:
         if role and role not in QUESTIONERS and role != "president" and not _near(name, president):
             by_role[role] = name
     cast = Cast(president, by_role, {n for _, n in counts if not _near(n, president)})
-    paragraphs = [(int(p), repair(t)[0]) for p, t in zip(group["paragraph"], group["text"])]
+    paragraphs = [(int(p), repair(t)[0]) for p, t in zip(group["paragraph"].to_pylist(), group["text"].to_pylist())]
     spans = decode([(n, t) for n, t in sorted(paragraphs) if not is_roster(t)], cast)
     rows, before = [], "\x00"
     for number, speaker, text in spans:
         if spoken(text):
             rows.append((first["speech_id"], first["block"], number, len(rows), speaker, (speaker or "") != before, clean(text), None))
             before = speaker or ""
-    known = [r[4] for r in rows if r[4]]
-    out = pd.DataFrame(rows, columns=["speech_id", "block", "paragraph", "piece", "speaker", "opens", "text", "last"])
-    out["last"] = known[-1] if known else None
-    return out
+    last = next((r[4] for r in reversed(rows) if r[4]), None)
+    kinds = [group.schema.field("speech_id").type, pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.string(), pa.string()]
+    names = ["speech_id", "block", "paragraph", "piece", "speaker", "opens", "text", "last"]
+    return pa.table({n: pa.array([(*r[:7], last)[i] for r in rows], k) for i, (n, k) in enumerate(zip(names, kinds))})
 
 
 def speaker_turns(rows: DataFrame) -> DataFrame:
@@ -302,18 +302,19 @@ def speaker_turns(rows: DataFrame) -> DataFrame:
 
     def events(batches):
         for batch in batches:
-            got = [(i, e) for i, t in zip(batch["speech_id"], batch["text"]) for e in _cast_events(repair(t)[0], None)]
-            yield pd.DataFrame({"speech_id": [i for i, _ in got], "role": [e[0] for _, e in got], "name": [e[1] for _, e in got]})
+            got = [(i, e) for i, t in enumerate(batch.column(1).to_pylist()) for e in _cast_events(repair(t)[0], None)]
+            ids = batch.column(0).take(pa.array([i for i, _ in got], pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array([e[k] for _, e in got], pa.string()) for k in (0, 1))], names=["speech_id", "role", "name"])
 
     kind = dict(base.dtypes)["speech_id"]
-    named = once.select("speech_id", "text").mapInPandas(events, f"speech_id {kind}, role string, name string")
+    named = once.select("speech_id", "text").mapInArrow(events, f"speech_id {kind}, role string, name string")
     named = named.groupBy("speech_id", "role", "name").agg(F.count(F.lit(1)).alias("n"))
     cast = named.groupBy("speech_id").agg(F.collect_list(F.struct("role", "name", "n")).alias("events"))
     heads = once.groupBy("speech_id").agg(F.min_by("president", F.when(F.col("president").isNotNull(), F.col("paragraph"))).alias("president"), F.max("speech_title").alias("title"))
     blocks = once.select("speech_id", "paragraph", "text", F.floor(F.col("paragraph") / BLOCK).cast("long").alias("block"))
     blocks = blocks.join(heads, "speech_id").join(cast, "speech_id", "left")
     schema = f"speech_id {kind}, block long, paragraph int, piece int, speaker string, opens boolean, text string, last string"
-    pieces = cut(blocks.groupBy("speech_id", "block").applyInPandas(_block_pieces, schema))
+    pieces = cut(blocks.groupBy("speech_id", "block").applyInArrow(_block_pieces, schema))
     ends = pieces.groupBy("speech_id", "block").agg(F.max("last").alias("last"))
     earlier = Window.partitionBy("speech_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select("speech_id", "block", F.last("last", True).over(earlier).alias("carry"), F.count(F.lit(1)).over(earlier).alias("before"))
