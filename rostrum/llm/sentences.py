@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rostrum.llm.encoding import repair
@@ -87,10 +87,12 @@ def _word_after(block: str, at: int) -> tuple[str, str]:
 
 
 def count_events(text: str, into: Counter) -> None:
-    """Add what one text says of its language: sentence starters, and what follows each token with a period."""
+    """Add what one text says of its language: its words, those after sure sentence ends, and what follows each token with a period."""
     lang = language(text)
     if lang in ("th", "zh", "ja"):
         return
+    for word, n in Counter(_NEXT.findall(text)).items():
+        into[lang, "word", word, ""] += n
     for block in _BLOCKS.split(text):
         word, kind = _word_after(block, 0)
         if kind in ("upper", "other"):
@@ -140,31 +142,52 @@ def likelihood_ratio(k: int, n: int, p: float) -> float:
     return 2 * (log(k / n) - log(p)) if n else 0.0
 
 
+def _ratio(k: Column, n: Column, others: Column, rest: Column) -> Column:
+    """Dunning's ratio as a column: how much better k of n and others of rest fit two rates than their common one."""
+    def log(k: Column, n: Column, rate: Column) -> Column:
+        return F.when(k > 0, k * F.ln(rate)).otherwise(0.0) + F.when(n > k, (n - k) * F.ln(1 - rate)).otherwise(0.0)
+
+    common = (k + others) / (n + rest)
+    return 2 * (log(k, n, k / n) + F.when(rest > 0, log(others, rest, others / rest)).otherwise(0.0) - log(k, n, common) - log(others, rest, common))
+
+
+def _formal(before: str) -> bool:
+    """Whether a token before a period is an initial or dotted, so an abbreviation by its form."""
+    letters = before.replace(".", "")
+    return len(letters) == 1 and letters.isalpha() or "." in before.strip(".") and letters.isalpha() and before != "#"
+
+
 class Model:
-    """Starters, abbreviations and names' titles of each language."""
+    """Starters, abbreviations, names' titles and collocations over a period of each language."""
 
     def __init__(self):
         self.starters: dict[str, set[str]] = {}
         self.abbreviations: dict[str, set[str]] = {}
         self.titles: dict[str, set[str]] = {}
+        self.collocations: dict[str, set[tuple[str, str]]] = {}
 
 
 def learn(rows: DataFrame, text: str = "text") -> Model:
     """Learn from all texts of ``rows`` that are not garbled: counting is distributed, what is collected has at most 1/SHARE words a kind.
 
-    A word is a starter if it opens texts, blocks or what follows ``!`` and ``?``, or follows (capitalised) words
-    that close sentences, by the likelihood ratio. A token with a period is an abbreviation if what follows it is
-    too rarely a starter, by the ratio against BASE_RATE; it is a title if almost no starter follows.
+    Words that open blocks or follow ``!`` and ``?`` twice, and oftener there than elsewhere, are openers. A token
+    with a period is an abbreviation if what follows it is too rarely an opener, by the ratio against BASE_RATE; it is
+    a title if almost no opener follows. A word is a starter if its rate behind sentence ends (those of the openers,
+    and periods after all but abbreviations, initials and numbers) is above its rate elsewhere, by Dunning's ratio.
+    An abbreviation, initial or number and the word behind its period are a collocation if the pair is more frequent,
+    by the ratio, than the word is elsewhere (a starter: than it is behind sentence ends), and if the word else stands
+    mostly inside sentences, as names and months do.
     """
     source = spread(rows.select(F.col(text).alias("_text")).where("_text is not null"))
     events = source.mapInArrow(_counts, "lang string, kind string, a string, b string, n long").groupBy("lang", "kind", "a", "b").agg(F.sum("n").alias("n"))
     events = events.persist()
     try:
-        starts = events.where("kind = 'start'").groupBy("lang", "a").agg(F.sum("n").alias("n"))
-        total = starts.groupBy("lang").agg(F.sum("n").alias("all"))
-        starters = starts.join(F.broadcast(total), "lang").where((F.col("n") >= SHARE * F.col("all")) & (F.col("n") >= 2)).select("lang", "a", "n")
+        words = events.where("kind = 'word'").groupBy("lang", "a").agg(F.sum("n").alias("uses"))
+        sizes = words.groupBy("lang").agg(F.sum("uses").alias("size"))
+        starts = events.where("kind = 'start'").select("lang", "a", "n")
+        openers = _leading(starts, words, sizes)
         period = events.where("kind = 'period'")
-        known = period.join(starters.select("lang", F.col("a").alias("b"), F.lit(1).alias("known")), ["lang", "b"], "left")
+        known = period.join(openers.select("lang", F.col("a").alias("b"), F.lit(1).alias("known")), ["lang", "b"], "left")
         by = known.groupBy("lang", "a").agg(
             F.sum(F.when(F.col("b") != "\x00end", F.col("n")).otherwise(0)).alias("n"),
             F.sum(F.when(F.col("b").startswith("\x00") & (F.col("b") != "\x00end"), F.col("n")).otherwise(0)).alias("low"),
@@ -174,19 +197,62 @@ def learn(rows: DataFrame, text: str = "text") -> Model:
         periods = by.groupBy("lang").agg(F.sum("every").alias("all"))
         by = by.join(F.broadcast(periods), "lang").where((F.col("every") >= SHARE * F.col("all")) & (F.col("n") > F.col("starter")))
         model = Model()
-        for r in starters.collect():
-            model.starters.setdefault(r["lang"], set()).add(r["a"])
         for r in by.collect():
             lang, n, k = r["lang"], r["n"], r["n"] - r["starter"]
             if k > 0.2 * n and likelihood_ratio(k, n, BASE_RATE) >= CRITICAL:
                 model.abbreviations.setdefault(lang, set()).add(r["a"])
                 if k >= 0.97 * n and r["low"] < 0.5 * n and n >= 5:
                     model.titles.setdefault(lang, set()).add(r["a"])
+        shared = source.sparkSession.sparkContext.broadcast(model)
+        pairs = period.where(~F.col("b").startswith("\x00")).mapInArrow(lambda batches: _split_pairs(batches, shared.value), "lang string, a string, b string, k long, cut boolean")
+        opens = starts.unionByName(pairs.where("cut").select("lang", F.col("b").alias("a"), F.col("k").alias("n")))
+        leading = _leading(opens, words, sizes)
+        starters = leading.where(F.col("ratio") >= CRITICAL)
+        learned = starters.select("lang", "a").collect()
+        collocations = _collocations(pairs.where("not cut"), opens, words, sizes, starters).collect()
+        for r in learned:
+            model.starters.setdefault(r["lang"], set()).add(r["a"])
+        for r in collocations:
+            model.collocations.setdefault(r["lang"], set()).add((r["a"], r["b"]))
         return model
     finally:
         events.unpersist()
 
 
+def _leading(opens: DataFrame, words: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``lang, a, n, all, ratio`` of the words that stand at least twice, and at a higher rate than elsewhere, in ``opens``."""
+    opens = opens.groupBy("lang", "a").agg(F.sum("n").alias("n"))
+    total = opens.groupBy("lang").agg(F.sum("n").alias("all"))
+    counted = opens.where("n >= 2").join(words, ["lang", "a"]).join(F.broadcast(total.join(sizes, "lang")), "lang")
+    elsewhere, rest = F.greatest(F.col("uses") - F.col("n"), F.lit(0)), F.greatest(F.col("size") - F.col("all"), F.lit(0))
+    leads = F.col("n") * rest >= elsewhere * F.col("all")
+    return counted.where(leads).select("lang", "a", "n", "all", _ratio(F.col("n"), F.col("all"), elsewhere, F.greatest(rest, elsewhere)).alias("ratio"))
+
+
+def _split_pairs(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    """``lang, a, b, k, cut``: whether the period between a and b is taken to end a sentence, a being no abbreviation, initial or number."""
+    for batch in batches:
+        lang, a = batch.column("lang"), batch.column("a")
+        cut = [not (t == "#" or _formal(t) or t in model.abbreviations.get(g, ())) for g, t in zip(lang.to_pylist(), a.to_pylist())]
+        yield pa.RecordBatch.from_arrays([lang, a, batch.column("b"), batch.column("n"), pa.array(cut, pa.bool_())], names=["lang", "a", "b", "k", "cut"])
+
+
+def _collocations(pairs: DataFrame, opens: DataFrame, words: DataFrame, sizes: DataFrame, starters: DataFrame) -> DataFrame:
+    """``lang, a, b``: pairs over a period that belong together; without a starter only those of numbers, as other pairs are not cut."""
+    before = pairs.groupBy("lang", "a").agg(F.sum("k").alias("n"))
+    opens = opens.groupBy("lang", F.col("a").alias("b")).agg(F.sum("n").alias("opens"))
+    known = starters.select("lang", F.col("a").alias("b"), "all")
+    found = pairs.where("k >= 2").join(before, ["lang", "a"]).join(words.withColumnRenamed("a", "b"), ["lang", "b"])
+    found = found.join(opens, ["lang", "b"], "left").join(known, ["lang", "b"], "left").join(F.broadcast(sizes), "lang").fillna(0, ["opens"])
+    starter = F.col("all").isNotNull()
+    elsewhere = F.greatest(F.col("uses") - F.col("k"), F.lit(0))
+    others = F.when(starter, F.col("opens")).otherwise(elsewhere)
+    rest = F.when(starter, F.col("all")).otherwise(F.greatest(F.col("size") - F.col("n"), elsewhere, F.lit(1)))
+    inside = 2 * F.col("opens") <= elsewhere
+    leads = F.col("k") * rest > others * F.col("n")
+    return found.where(((F.col("a") == "#") | starter) & inside & leads & (_ratio(F.col("k"), F.col("n"), others, rest) >= CRITICAL)).select("lang", "a", "b")
+
+
 def _protected(block: str) -> tuple[list[int], dict[int, int]]:
     """For each character whether it stands inside a pair of quotes or brackets; and the opener of each closer."""
     inside, pairs, stack = [0] * (len(block) + 1), {}, []
@@ -241,8 +307,7 @@ def _period_ends(block: str, at: int, end: int, lang: str, model: Model) -> bool
     if kind == "lower" or follows in ",;:—–-،、" or (kind == "sign" and follows not in "♪*•#§&@%"):
         return False
     before = _word_before(block, at) if end == at + 1 else ""
-    letters = before.replace(".", "")
-    formal = len(letters) == 1 and letters.isalpha() or "." in before.strip(".") and letters.isalpha() and before != "#"
+    formal = _formal(before)
     if not spaced:
         if kind == "digit" or formal or before in model.abbreviations.get(lang, ()) or (end == at + 1 and not before):
             return False
@@ -251,6 +316,8 @@ def _period_ends(block: str, at: int, end: int, lang: str, model: Model) -> bool
         return False
     if lang == "hi":
         return False
+    if (before, word) in model.collocations.get(lang, ()):
+        return False
     if formal or before in model.abbreviations.get(lang, ()):
         if before in model.titles.get(lang, ()):
             return False
