@@ -210,7 +210,7 @@ def repair_token(token: str) -> tuple[str, bool, str]:
 
 def repair(text: str) -> tuple[str, bool]:
     """A text with its garbled tokens restored where that is possible, and whether it had any."""
-    if text.isascii() and not _EVIDENCE.search(text):
+    if text.isascii() and not _EVIDENCE.search(text) and not _CODE_POINT.search(text):
         return text, False
     tokens = {t for t in _SPACES.split(text) if t and (not t.isascii() or "<U+" in t or "\\" in t or "&#" in t)}
     fixed = {t: repair_token(t) for t in tokens}
