@@ -57,7 +57,7 @@ def language(text: str) -> str:
     if best[0] > latin:
         return best[1]
     votes = Counter()
-    for w in _WORDS.findall(text[:20_000].lower()):
+    for w in _WORDS.findall(text.lower()):
         langs = _STOP.get(w, ())
         for lang in langs:
             votes[lang] += 1 / len(langs)

@@ -24,3 +24,7 @@ def test_a_collocation_vetoes_the_cut_before_a_starter(spark):
     model = learned(spark, texts + ["The mill of St. Brisk is shut.", "The bell of St. Ann is old."] * 15)
     assert "John" in model.starters["en"] and ("st", "John") in model.collocations["en"]
     assert len(sentences.sentence_ends("We saw the mill of St. John in the fog.", model)) == 1
+
+
+def test_the_whole_text_tells_the_language():
+    assert sentences.language("We have the letter of the people.\n" * 700 + "Die Stadt ist nicht für das Dorf und der Weg ist nicht von uns.\n" * 2000) == "de"
