@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from rostrum.llm.encoding import repair
 from rostrum.plans.session import spread
 
-#: A word is kept in a model if it makes up this share of the events of its kind; so a model has at most 1/SHARE words.
-SHARE = 1e-5
 #: Followers that are no known sentence starter, expected after a true sentence end; and the critical value of the ratio.
 BASE_RATE, CRITICAL = 0.05, 7.88
 
@@ -134,14 +132,6 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def likelihood_ratio(k: int, n: int, p: float) -> float:
-    """Dunning's ratio: how much better k of n fit their own rate than the rate p."""
-    def log(rate: float) -> float:
-        return (k * math.log(rate) if k else 0.0) + ((n - k) * math.log(1 - rate) if n > k else 0.0)
-
-    return 2 * (log(k / n) - log(p)) if n else 0.0
-
-
 def _ratio(k: Column, n: Column, others: Column, rest: Column) -> Column:
     """Dunning's ratio as a column: how much better k of n and others of rest fit two rates than their common one."""
     def log(k: Column, n: Column, rate: Column) -> Column:
@@ -168,7 +158,7 @@ class Model:
 
 
 def learn(rows: DataFrame, text: str = "text") -> Model:
-    """Learn from all texts of ``rows`` that are not garbled: counting is distributed, what is collected has at most 1/SHARE words a kind.
+    """Learn from all texts of ``rows`` that are not garbled: counting and tests are distributed; only what passes its test is collected.
 
     Words that open blocks or follow ``!`` and ``?`` twice, and oftener there than elsewhere, are openers. A token
     with a period is an abbreviation if what follows it is too rarely an opener, by the ratio against BASE_RATE; it is
@@ -192,17 +182,16 @@ def learn(rows: DataFrame, text: str = "text") -> Model:
             F.sum(F.when(F.col("b") != "\x00end", F.col("n")).otherwise(0)).alias("n"),
             F.sum(F.when(F.col("b").startswith("\x00") & (F.col("b") != "\x00end"), F.col("n")).otherwise(0)).alias("low"),
             F.sum(F.when(F.col("known") == 1, F.col("n")).otherwise(0)).alias("starter"),
-            F.sum("n").alias("every"),
         )
-        periods = by.groupBy("lang").agg(F.sum("every").alias("all"))
-        by = by.join(F.broadcast(periods), "lang").where((F.col("every") >= SHARE * F.col("all")) & (F.col("n") > F.col("starter")))
+        k, n = F.col("n") - F.col("starter"), F.col("n")
+        ratio = 2 * (k * F.ln(k / n) + F.when(n > k, (n - k) * F.ln(1 - k / n)).otherwise(0.0) - k * math.log(BASE_RATE) - (n - k) * math.log(1 - BASE_RATE))
+        by = by.where((k > 0.2 * n) & (ratio >= CRITICAL))
         model = Model()
         for r in by.collect():
             lang, n, k = r["lang"], r["n"], r["n"] - r["starter"]
-            if k > 0.2 * n and likelihood_ratio(k, n, BASE_RATE) >= CRITICAL:
-                model.abbreviations.setdefault(lang, set()).add(r["a"])
-                if k >= 0.97 * n and r["low"] < 0.5 * n and n >= 5:
-                    model.titles.setdefault(lang, set()).add(r["a"])
+            model.abbreviations.setdefault(lang, set()).add(r["a"])
+            if k >= 0.97 * n and r["low"] < 0.5 * n and n >= 5:
+                model.titles.setdefault(lang, set()).add(r["a"])
         shared = source.sparkSession.sparkContext.broadcast(model)
         pairs = period.where(~F.col("b").startswith("\x00")).mapInArrow(lambda batches: _split_pairs(batches, shared.value), "lang string, a string, b string, k long, cut boolean")
         opens = starts.unionByName(pairs.where("cut").select("lang", F.col("b").alias("a"), F.col("k").alias("n")))

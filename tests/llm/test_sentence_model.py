@@ -28,3 +28,8 @@ def test_a_collocation_vetoes_the_cut_before_a_starter(spark):
 
 def test_the_whole_text_tells_the_language():
     assert sentences.language("We have the letter of the people.\n" * 700 + "Die Stadt ist nicht für das Dorf und der Weg ist nicht von uns.\n" * 2000) == "de"
+
+
+def test_a_rare_abbreviation_is_learned_in_a_large_corpus(spark):
+    model = learned(spark, ["The dog ran. " * 1000] * 220 + ["The men saw vb. seven of them.", "The men saw vb. nine of them."])
+    assert model.abbreviations["en"] == {"vb"}
