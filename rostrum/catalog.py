@@ -520,7 +520,7 @@ def _speech_docs(spark: SparkSession, d: str) -> DataFrame:
 
 @query("m04_nmf_per_president")
 def m04(spark, d):
-    return topics.nmf_topics(_speech_docs(spark, d), "president", "speech_title", "text", 10, STOP_WORDS)
+    return topics.nmf_topics(_speech_docs(spark, d), "president", "speech_title", "text", 10, STOP_WORDS, n_words=10)
 
 
 @query("m06_nmf_per_speech")

@@ -75,8 +75,8 @@ def factorize(x: np.ndarray, k: int, alpha: float = 0.1, l1_ratio: float = 0.5,
     return w, h
 
 
-def nmf_topics(docs: DataFrame, model_key: str, doc_key: str, text: str, k: int, stop_words: list[str] = ()) -> DataFrame:
-    """One factorisation for each ``model_key``: ``model_key, doc, topic, weight`` with its documents as rows.
+def nmf_topics(docs: DataFrame, model_key: str, doc_key: str, text: str, k: int, stop_words: list[str] = (), n_words: int = 5) -> DataFrame:
+    """One factorisation for each ``model_key``: ``model_key, doc, topic, weight`` with its documents as rows; ``words`` holds the best ``n_words`` of the topic.
 
     TF-IDF weights (idf within the model) are computed in the JVM; only a model's own matrix reaches its worker, so a
     model's documents must fit one task, as any dense factorisation needs.
@@ -96,7 +96,7 @@ def nmf_topics(docs: DataFrame, model_key: str, doc_key: str, text: str, k: int,
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
         w, h = factorize(x, k)
         out = pd.DataFrame({"d": np.repeat(names, w.shape[1]), "topic_idx": np.tile(np.arange(w.shape[1]), len(names)), "weight": w.ravel()})
-        best = [" ".join(vocabulary[i] for i in np.argsort(-row, kind="stable")[:5]) for row in h]
+        best = [" ".join(vocabulary[i] for i in np.argsort(-row, kind="stable")[:n_words]) for row in h]
         out["m"], out["words"] = group["m"].iloc[0], [best[j] for j in out["topic_idx"]]
         return out[["m", "d", "topic_idx", "weight", "words"]]
 
