@@ -6,14 +6,14 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: At most this many groups can each hold more than 1/HOT_SHARE of the rows; only they are salted.
-HOT_SHARE = 64
-SALTS = 32
+#: Bits of the map of repeated identities: 64 to a word, so at most 2^18 words, whatever the input.
+REPEAT_BITS = 1 << 24
+#: (term, group) pairs that a task gathers before it sums them up.
+GATHERED = 400_000
 
 
 def normal_form(value: str | None) -> str | None:
@@ -41,79 +41,101 @@ def heavy_terms(rows: DataFrame, fields: list[str], k: int) -> dict[tuple[str, s
     return {t: i for i, t in enumerate(sorted(terms))}
 
 
-def hot_groups(rows: DataFrame, group: str) -> tuple[int, list]:
-    """The number of groups, and those holding more than 1/HOT_SHARE of all rows (at most HOT_SHARE)."""
-    sizes = rows.where(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    got = sizes.agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("n"), F.max("n").alias("most")).first()
-    limit = (got["n"] or 0) / HOT_SHARE
-    hot = [] if not got["n"] or got["most"] <= limit else [r[0] for r in sizes.where(F.col("n") > limit).select(group).collect()]
-    return got["groups"], hot
+def repeated_identities(base: DataFrame) -> DataFrame:
+    """``_word, _bits``: a map of the hashes ``_h`` that stand more than once, at most REPEAT_BITS / 64 rows of two numbers.
 
+    Only hashes are shuffled. A row whose bit is not set is surely single; one whose bit is set may be repeated.
+    """
+    place = F.pmod("_h", F.lit(REPEAT_BITS))
+    twice = base.where("_h is not null").groupBy("_h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+    return twice.groupBy(F.floor(place / 64).cast("int").alias("_word")).agg(F.bit_or(one).alias("_bits"))
+
+
+class _Pairs:
+    """Pairs of a term's number and a group, summed up: how often, and the groups as bits of words of 64."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
+
+    def add(self, term: np.ndarray, word: np.ndarray, known: np.ndarray, bits: np.ndarray, n: np.ndarray) -> None:
+        self.parts.append((term, word, known, bits, n))
+        self.size += len(term)
 
-def _batch(field, term, n, d, hot) -> pa.RecordBatch:
-    size = len(term)
-    every = lambda x, kind: pa.array([x] * size if x is None or isinstance(x, (str, int)) else list(x), kind)
-    arrays = [every(field, pa.string()), every(term, pa.string()), every(n, pa.int64()), every(d, pa.int64()), every(hot, pa.string())]
-    return pa.RecordBatch.from_arrays(arrays, names=["field", "term", "n", "d", "hot"])
+    def summed(self) -> tuple[np.ndarray, ...]:
+        term, word, known, bits, n = (np.concatenate(x) for x in zip(*self.parts)) if self.parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        order = np.lexsort((word, known, term))
+        term, word, known, bits, n = (x[order] for x in (term, word, known, bits, n))
+        fresh = np.ones(len(term), bool)
+        fresh[1:] = (term[1:] != term[:-1]) | (word[1:] != word[:-1]) | (known[1:] != known[:-1])
+        at = np.flatnonzero(fresh)
+        got = (term[at], word[at], known[at], np.bitwise_or.reduceat(bits, at), np.add.reduceat(n, at)) if len(at) else (term, word, known, bits, n)
+        self.parts, self.size = [got], len(at)
+        return got
 
 
-def _local_counts(fields: list[str], heavy: dict[tuple[str, str], int], hot: set):
-    """Counts one partition, whose rows come ordered by group and identity."""
+def _local_counts(fields: list[str], heavy: dict[tuple[str, str], int]):
+    """Counts one partition of (group, fields): heavy terms in arrays kept to its end, other terms as they are gathered."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        occurrences, groups = np.zeros(len(heavy), np.int64), np.zeros(len(heavy), np.int64)
-        forms: dict[str, str | None] = {}
-        last_row, open_group, open_terms = None, None, {f: set() for f in fields}
-        for batch in (b.to_pandas() for b in batches if b.num_rows):
-            key = batch["_a"].astype("object").where(batch["_a"].notna(), None), batch["_b"].where(batch["_b"].notna(), None)
-            fresh = ~batch.duplicated(["_g", "_a", "_b"])
-            fresh |= batch["_u"].to_numpy()  # a row without identity is a row of its own
-            first = (batch["_g"].iloc[0], key[0].iloc[0], key[1].iloc[0])
-            if last_row is not None and not batch["_u"].iloc[0] and first == last_row:
-                fresh &= ~((batch["_g"] == first[0]) & (batch["_a"] == first[1]) & (batch["_b"] == first[2]) & ~batch["_u"])
-            last_row = None if batch["_u"].iloc[-1] else (batch["_g"].iloc[-1], key[0].iloc[-1], key[1].iloc[-1])
-            rows = batch[fresh]
-            if len(forms) > 400_000:
-                forms.clear()
-            for f in fields:
-                codes, raw = pd.factorize(rows[f])
-                named = np.empty(len(raw), object)
-                for i, r in enumerate(raw):
-                    t = forms.get(r, 0)
-                    if t == 0:
-                        t = forms[r] = normal_form(r)
-                    named[i] = t
-                term = pd.Series(np.append(named, None)[codes], dtype=object)
-                got = pd.DataFrame({"g": rows["_g"].to_numpy(), "t": term}).dropna(subset=["t"])
-                got = got.groupby(["g", "t"], sort=False, dropna=False).size().reset_index(name="n")
-                g = got["g"].to_numpy()
-                nowhere = pd.isna(got["g"]).to_numpy()
-                if open_group is not None:  # the group that the last batch left open goes on here
-                    seen = (g == open_group) & got["t"].isin(open_terms[f]).to_numpy()
-                else:
-                    seen = np.zeros(len(got), bool)
-                is_hot = got["g"].isin(hot).to_numpy() if hot else np.zeros(len(got), bool)
-                got["d"] = (~seen & ~nowhere & ~is_hot).astype(np.int64)
-                index = np.fromiter((heavy.get((f, t), -1) for t in got["t"]), np.int64, len(got))
-                local = (index >= 0) & ~is_hot
-                np.add.at(occurrences, index[local], got["n"].to_numpy()[local])
-                np.add.at(groups, index[local], got["d"].to_numpy()[local])
-                light = got[~local & ~is_hot].groupby("t", sort=False).agg(n=("n", "sum"), d=("d", "sum")).reset_index()
-                yield _batch(f, light["t"], light["n"], light["d"], None)
-                if is_hot.any():
-                    h = got[is_hot]
-                    yield _batch(f, h["t"], h["n"], 0, h["g"].astype(str))
-                tail = rows["_g"].iloc[-1] if len(rows) else open_group
-                if not pd.isna(tail) if tail is not None else False:
-                    terms = set(got["t"][g == tail])
-                    open_terms[f] = open_terms[f] | terms if tail == open_group else terms
-                else:
-                    open_terms[f] = set()
-            if len(rows):
-                tail = rows["_g"].iloc[-1]
-                open_group = None if pd.isna(tail) else tail
-        some = [(f, t, occurrences[i], groups[i]) for (f, t), i in heavy.items() if occurrences[i]]
-        yield _batch([x[0] for x in some], [x[1] for x in some], [int(x[2]) for x in some], [int(x[3]) for x in some], None)
+        names = {f: [t for (g, t) in heavy if g == f] for f in fields}
+        first = {f: len(names[f]) for f in fields}
+        number = {f: {t: i for i, t in enumerate(names[f])} for f in fields}
+        raw: dict[str, dict[str, int]] = {f: {} for f in fields}
+        occurrences = {f: np.zeros(first[f], np.int64) for f in fields}
+        groups, light = {f: _Pairs() for f in fields}, {f: _Pairs() for f in fields}
+
+        def rows(f: str, term: np.ndarray, word: np.ndarray, known: np.ndarray, bits: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            arrays = [
+                pa.array([f] * len(term), pa.string()), pa.array([names[f][t] for t in term.tolist()], pa.string()),
+                pa.array(word, pa.int64(), mask=~known), pa.array(bits.view(np.int64), pa.int64()), pa.array(n, pa.int64()),
+            ]
+            return pa.RecordBatch.from_arrays(arrays, names=["field", "term", "word", "bits", "n"])
+
+        def flush(f: str) -> pa.RecordBatch:
+            term, word, known, bits, n = light[f].summed()
+            local = term < first[f]
+            np.add.at(occurrences[f], term[local], n[local])
+            groups[f].add(term[local], word[local], known[local], bits[local], np.zeros(local.sum(), np.int64))
+            if groups[f].size > 4 * GATHERED:
+                groups[f].summed()
+            out = rows(f, term[~local], word[~local], known[~local], bits[~local], n[~local])
+            light[f] = _Pairs()
+            if len(raw[f]) > GATHERED:
+                raw[f], names[f] = {}, names[f][: first[f]]
+                number[f] = {t: i for i, t in enumerate(names[f])}
+            return out
+
+        for batch in batches:
+            g = batch.column(0)
+            known = g.is_valid().to_numpy(zero_copy_only=False)
+            ids = g.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            word, bits = ids >> 6, np.left_shift(np.uint64(1), (ids & 63).astype(np.uint64))
+            word, bits = np.where(known, word, 0), np.where(known, bits, np.uint64(0))
+            for k, f in enumerate(fields, 1):
+                coded = batch.column(k).dictionary_encode()
+                look = np.full(len(coded.dictionary) + 1, -1, np.int64)
+                for i, value in enumerate(coded.dictionary.to_pylist()):
+                    t = raw[f].get(value)
+                    if t is None:
+                        form = normal_form(value)
+                        t = -1 if form is None else number[f].setdefault(form, len(names[f]))
+                        if t == len(names[f]):
+                            names[f].append(form)
+                        raw[f][value] = t
+                    look[i] = t
+                term = look[coded.indices.fill_null(len(coded.dictionary)).to_numpy(zero_copy_only=False)]
+                some = term >= 0
+                light[f].add(term[some], word[some], known[some], bits[some], np.ones(some.sum(), np.int64))
+                if light[f].size >= GATHERED:
+                    yield flush(f)
+        for f in fields:
+            yield flush(f)
+            yield rows(f, *groups[f].summed())
+            some = np.flatnonzero(occurrences[f])
+            nothing = np.zeros(len(some), np.int64)
+            yield rows(f, some, nothing, nothing > 0, nothing.astype(np.uint64), occurrences[f][some])
 
     return run
 
@@ -133,24 +155,34 @@ def term_frequency(
     only, as a term of the sole group is in all of them), else null.
 
     Terms are compared in their ``normal_form``. Null and empty values are no terms. Rows of one identity count
-    once; a row with a null in its identity counts as a row of its own. Rows with a null group add occurrences
+    once, also where their values differ (the row of the lowest group and values counts); a row with a null in its
+    identity counts as a row of its own. ``group`` is an integral column; rows with a null group add occurrences
     and no group. Other columns of ``rows`` are ignored, whatever their names. An empty table gives no rows.
 
-    Plan: rows are hashed by group (groups over 1/64 of the rows also by a salt of the identity, so one group
-    never lands in one task), which brings the copies of a row together. Each task then adds the detected heavy
-    terms into exact counter arrays of its own and sends only the other terms, summed per batch; one aggregation
-    unites both. Detection errors shift work only. Collects at most ``heavy`` terms a field and 64 group ids.
-    Runs two small jobs when called: group sizes and the sketch of frequent terms.
+    Plan: no row is shuffled but those that may be repeated. Repeated identities are found by an exchange of their
+    hashes and spread as a map of fixed size; rows outside of it are single and are counted where they are read,
+    the few others meet by identity first. Each task adds the detected heavy terms into exact arrays of its own:
+    occurrences, and the groups they stand in as bits. Only these sums and the other terms, summed up by task, are
+    shuffled, and one aggregation unites both. Neither a hot group nor a hot term gathers rows in one task. Detection
+    errors and map collisions shift work only. Runs two small jobs when called: the number of groups and the sketch of
+    frequent terms, which brings at most ``heavy`` terms a field to the driver.
     """
-    spark = rows.sparkSession
+    if dict(rows.dtypes)[group] not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"{group} must be an integral column")
     a, b = identity
-    base = rows.select(F.col(group).alias("_g"), F.col(a).alias("_a"), F.col(b).alias("_b"), *fields)
-    n_groups, hot = hot_groups(base, "_g")
-    heavies = heavy_terms(base, fields, heavy)
-    marked = base.withColumn("_u", F.col("_a").isNull() | F.col("_b").isNull())
-    salt = F.when(F.col("_g").isNull() | F.col("_g").isin(hot), F.pmod(F.xxhash64("_a", "_b"), F.lit(SALTS))).otherwise(F.lit(0))
-    spread = marked.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_g", salt).sortWithinPartitions("_g", "_a", "_b")
-    partial = spread.mapInArrow(_local_counts(fields, heavies, set(hot)), "field string, term string, n long, d long, hot string")
-    counts = partial.groupBy("field", "term").agg(F.sum("n").alias("n_occurrences"), (F.sum("d") + F.size(F.collect_set("hot"))).alias("n_groups"))
+    base = rows.select(F.col(group).cast("long").alias("_g"), F.col(a).alias("_a"), F.col(b).alias("_b"), *[F.col(f).alias(f"_{k}") for k, f in enumerate(fields)])
+    base = base.withColumn("_h", F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), F.xxhash64("_a", "_b")))
+    n_groups = base.agg(F.count_distinct("_g").alias("n")).first()["n"]
+    heavies = heavy_terms(rows.select(*fields), fields, heavy)
+    place = F.pmod("_h", F.lit(REPEAT_BITS))
+    marked = base.join(F.broadcast(repeated_identities(base)), F.floor(place / 64).cast("int") == F.col("_word"), "left")
+    again = F.coalesce(F.call_function("getbit", F.col("_bits"), (place % 64).cast("int")) == 1, F.lit(False))
+    values = ["_g", *[f"_{k}" for k in range(len(fields))]]
+    single = marked.where(~again).select(*values)
+    met = marked.where(again).groupBy("_a", "_b").agg(F.min(F.struct(*values)).alias("r")).select("r.*")
+    count, schema = _local_counts(fields, heavies), "field string, term string, word long, bits long, n long"
+    partial = single.mapInArrow(count, schema).unionByName(met.mapInArrow(count, schema))
+    words = partial.groupBy("field", "term", "word").agg(F.bit_or("bits").alias("bits"), F.sum("n").alias("n"))
+    counts = words.groupBy("field", "term").agg(F.sum("n").alias("n_occurrences"), F.sum(F.when(F.col("word").isNotNull(), F.bit_count("bits")).otherwise(0)).alias("n_groups"))
     mark = F.when(F.col("n_groups") > common_share * n_groups, "common").when(F.col("n_groups") == 1, "rare")
     return counts.select("field", "term", "n_occurrences", F.col("n_groups").cast("long").alias("n_groups"), mark.alias("mark"))

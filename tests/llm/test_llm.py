@@ -49,11 +49,29 @@ def test_terms_with_a_hot_group(spark, heavy):
     rows = [(f"b{i % 3}", i, rng.choice(pool), rng.choice(pool), rng.choice(["NN", "nn ", None]), None if i % 17 == 0 else 1 if i % 3 == 0 else rng.randint(2, 200), "z") for i in range(900)]
     rows += rng.sample(rows, 60) + [(None, 1, "the", "the", "DT", 5, "")] * 2
     df = spark.createDataFrame(rows, WORDS)
-    assert terms.hot_groups(df, "speech_id")[1] == [1]
     got = terms.term_frequency(df, heavy=heavy)
     assert {(r.field, r.term, r.n_occurrences, r.n_groups) for r in got.collect()} == brute_terms(rows)
 
 
+def test_terms_in_small_parts(spark, monkeypatch):
+    monkeypatch.setattr(terms, "GATHERED", 7)
+    monkeypatch.setattr(terms, "REPEAT_BITS", 64)
+    rng = random.Random(9)
+    rows = [("b", i, rng.choice(["the", "of", "x", f"w{i}"]), "the", "NN", rng.choice([None, 1, -5, 63, 64, 1 << 40]), "") for i in range(300)]
+    rows += rows[:40] + [("b", 1, "other", "other", "NN", 77, "")]  # one identity with other values in another group
+    got = {(r.field, r.term): (r.n_occurrences, r.n_groups) for r in terms.term_frequency(spark.createDataFrame(rows, WORDS).repartition(5), heavy=2).collect()}
+    lowest = [min((r[5] if r[5] is not None else -(1 << 60), r[2:5]) for r in rows if r[1] == i) for i in range(300)]
+    for f in range(3):
+        want = {}
+        for g, values in lowest:
+            n, groups = want.setdefault(values[f], [0, set()])
+            want[values[f]][0] += 1
+            groups.update([g] if g > -(1 << 60) else [])
+        assert {t: v for (field, t), v in got.items() if field == ("word", "lemma", "pos")[f]} == {t.lower(): (n, len(g)) for t, (n, g) in want.items()}
+    with pytest.raises(ValueError):
+        terms.term_frequency(spark.createDataFrame(rows, WORDS), group="word")
+
+
 def test_terms_marks_and_empty(spark):
     rows = [("b", i, w, None, None, g, "") for i, (w, g) in enumerate([("a", 1), ("a", 2), ("a", 3), ("b", 1), ("c", 1), ("c", 2)])]
     got = terms.term_frequency(spark.createDataFrame(rows, WORDS)).collect()
