@@ -6,6 +6,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from unicodedata import category
 
 import pyarrow as pa
 import regex
@@ -31,66 +32,83 @@ _SCRIPTS = [
     ("ar", regex.compile(r"\p{Arabic}")), ("ru", regex.compile(r"\p{Cyrillic}")), ("el", regex.compile(r"\p{Greek}")),
 ]
 _LATIN = regex.compile(r"\p{Latin}")
-_WORDS = regex.compile(r"[\p{L}\p{M}]+")
+_WORDS = re.compile(r"[^\W\d_]+")
 _BLOCKS = re.compile(r"\r?\n[^\S\n]*\n\s*")
-_ENDS = regex.compile(r"[.!?…。！？｡．।॥؟۔;;]+")
+_ENDS = re.compile(r"[.!?…。！？｡．।॥؟۔;;]+")
 _CLOSERS = "\"”’»)]}』」）】›"
 _OPENERS = "\"“‘«([{『「（【‹„¿¡"
 _PAIRS = {"“": "”", "«": "»", "「": "」", "『": "』", "(": ")", "[": "]", "（": "）", "【": "】", "{": "}"}
-_NOTE = regex.compile(r"\s*(?:\[[^\[\]\n]{0,80}\]|\([^()\n]{0,80}\)|\{[^{}\n]{0,80}\}|（[^（）\n]{0,80}）|[¹²³⁴⁵⁶⁷⁸⁹⁰]+|[*†‡]+(?=\s|$))")
-_BEFORE = regex.compile(r"[\p{L}\p{M}\p{N}.'’\-_&$€£]+$")
+_NOTE = regex.compile(r"\s*(?:\[[^\[\]\n]*\]|\([^()\n]*\)|\{[^{}\n]*\}|（[^（）\n]*）|[¹²³⁴⁵⁶⁷⁸⁹⁰]+|[*†‡]+(?=\s|$))")
+_NOTE_BEGINS = frozenset("[({（¹²³⁴⁵⁶⁷⁸⁹⁰*†‡")
+_PARTS = frozenset(".'’-_&$€£")
 _NEXT = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:['’\-][\p{L}\p{N}]+)*")
 _NUMERAL = regex.compile(r"\p{Nd}")
 _TITLE_WORD = regex.compile(r"^[\p{Lu}\p{N}\W]|^(?:of|the|and|to|a|an|in|on|for|at|by|de|la|le|les|du|des|el|los|las|y|et|und|der|die|das|del)$")
 
 
+_SCRIPT_OF: dict[str, str | None] = {}
+
+
+def _script(c: str) -> str | None:
+    """Which of the scripts a character belongs to."""
+    if c not in _SCRIPT_OF:
+        _SCRIPT_OF[c] = next((lang for lang, p in _SCRIPTS if p.match(c)), None)
+    return _SCRIPT_OF[c]
+
+
 def language(text: str) -> str:
     """One of eleven codes: the script decides, for Latin letters the function words; English if nothing tells."""
-    counts = [(len(p.findall(text)), lang) for lang, p in _SCRIPTS] if not text.isascii() else []
-    latin = len(_LATIN.findall(text)) if counts else len(text)
-    by = dict((lang, n) for n, lang in counts)
-    if by.get("ja", 0) + by.get("zh", 0) > latin / 2 and by.get("ja", 0) + by.get("zh", 0) > 0:
-        return "ja" if by["ja"] * 10 > by["zh"] else "zh"
-    best = max(counts, default=(0, "en"))
-    if best[0] > latin:
-        return best[1]
-    votes = Counter()
+    by: dict[str, int] = {}
+    if not text.isascii():
+        for c in set(text):
+            if c > "\u036f" and (lang := _script(c)):
+                by[lang] = by.get(lang, 0) + text.count(c)
+    if by:
+        latin = len(_LATIN.findall(text))
+        east = by.get("ja", 0) + by.get("zh", 0)
+        if east > latin / 2:
+            return "ja" if by.get("ja", 0) * 10 > by.get("zh", 0) else "zh"
+        best = max((n, lang) for lang, n in by.items())
+        if best[0] > latin:
+            return best[1]
+    votes = dict.fromkeys(("en", "de", "fr", "es"), 0.0)
     for w in _WORDS.findall(text.lower()):
-        langs = _STOP.get(w, ())
-        for lang in langs:
-            votes[lang] += 1 / len(langs)
-    return max(("en", "de", "fr", "es"), key=lambda lang: votes[lang])
+        if langs := _STOP.get(w):
+            for lang in langs:
+                votes[lang] += 1 / len(langs)
+    return max(votes, key=lambda lang: votes[lang])
 
 
 def _word_before(block: str, at: int) -> str:
-    """The token that a period at ``at`` ends, lower-case, numbers as ``#``."""
-    m = _BEFORE.search(block, max(0, at - 40), at)
-    w = m.group().lower().strip("'’-_&$€£") if m else ""
+    """The token that a period at ``at`` ends, lower-case, numbers as ``#``; of a run of over 100 characters, those at its end."""
+    i, least = at, max(0, at - 100)
+    while i > least and ((c := block[i - 1]).isalnum() or c in _PARTS or not c.isascii() and category(c)[0] == "M"):
+        i -= 1
+    w = block[i:at].lower().strip("'’-_&$€£")
     return "#" if w and not w.strip(".").strip("0123456789,.") else w
 
 
 def _word_after(block: str, at: int) -> tuple[str, str]:
     """The next word from ``at``, and what stands there: ``lower``, ``upper``, ``other`` (no case), ``initial``, ``digit``, ``sign``, ``end``."""
-    while at < len(block) and (block[at].isspace() or block[at] in _OPENERS):
+    size = len(block)
+    while at < size and ((c := block[at]).isspace() or c in _OPENERS):
         at += 1
-    if at >= len(block):
+    if at >= size:
         return "", "end"
     m = _NEXT.match(block, at)
     if not m:
-        return block[at], "sign"
-    c = block[at]
+        return c, "sign"
     if m.end() == at + 1 and c.isupper() and block[at + 1 : at + 2] == ".":
         return c, "initial"
     return m.group(), "digit" if c.isnumeric() else "lower" if c.islower() else "upper" if c.isupper() or c.istitle() else "other"
 
 
-def count_events(text: str, into: Counter) -> None:
+def count_events(text: str, into: Counter, words: dict[str, Counter]) -> None:
     """Add what one text says of its language: its words, those after sure sentence ends, and what follows each token with a period."""
     lang = language(text)
     if lang in ("th", "zh", "ja"):
         return
-    for word, n in Counter(_NEXT.findall(text)).items():
-        into[lang, "word", word, ""] += n
+    words.setdefault(lang, Counter()).update(_NEXT.findall(text))
     for block in _BLOCKS.split(text):
         word, kind = _word_after(block, 0)
         if kind in ("upper", "other"):
@@ -98,7 +116,7 @@ def count_events(text: str, into: Counter) -> None:
         inside, _ = _protected(block)
         for m in _ENDS.finditer(block):
             ender = m.group()
-            if inside[m.start()] or ender[-1] == ";" and lang != "el":
+            if inside and inside[m.start()] or ender[-1] == ";" and lang != "el":
                 continue
             end = m.end()
             while end < len(block) and block[end] in _CLOSERS:
@@ -116,18 +134,19 @@ def count_events(text: str, into: Counter) -> None:
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
+    words: dict[str, Counter] = {}
 
     def flush() -> pa.RecordBatch:
-        rows = list(counts.items())
+        rows = [*counts.items(), *(((lang, "word", w, ""), n) for lang, by in words.items() for w, n in by.items())]
         arrays = [pa.array([k[i] for k, _ in rows], pa.string()) for i in range(4)] + [pa.array([n for _, n in rows], pa.int64())]
         counts.clear()
+        words.clear()
         return pa.RecordBatch.from_arrays(arrays, names=["lang", "kind", "a", "b", "n"])
 
     for batch in batches:
         for t in batch.column(0):
-            if not repair(t.as_py())[1]:
-                count_events(t.as_py(), counts)
-            if len(counts) > 100_000:
+            count_events(t.as_py(), counts, words)
+            if len(counts) + sum(map(len, words.values())) > 100_000:
                 yield flush()
     yield flush()
 
@@ -158,7 +177,7 @@ class Model:
 
 
 def learn(rows: DataFrame, text: str = "text") -> Model:
-    """Learn from all texts of ``rows`` that are not garbled: counting and tests are distributed; only what passes its test is collected.
+    """Learn from all texts of ``rows``, garbled ones too, as their odd tokens pass no test: counting and tests are distributed; only what passes its test is collected.
 
     Words that open blocks or follow ``!`` and ``?`` twice, and oftener there than elsewhere, are openers. A token
     with a period is an abbreviation if what follows it is too rarely an opener, by the ratio against BASE_RATE; it is
@@ -242,15 +261,19 @@ def _collocations(pairs: DataFrame, opens: DataFrame, words: DataFrame, sizes: D
     return found.where(((F.col("a") == "#") | starter) & inside & leads & (_ratio(F.col("k"), F.col("n"), others, rest) >= CRITICAL)).select("lang", "a", "b")
 
 
-def _protected(block: str) -> tuple[list[int], dict[int, int]]:
-    """For each character whether it stands inside a pair of quotes or brackets; and the opener of each closer."""
-    inside, pairs, stack = [0] * (len(block) + 1), {}, []
-    straight = [m.start() for m in re.finditer('"', block)]
-    if len(straight) % 2:
-        straight = []
-    for a, b in zip(straight[::2], straight[1::2]):
-        pairs[b] = a
-    for i, c in enumerate(block):
+_PAIRED = re.compile('[„“”«»「」『』()\\[\\]（）【】{}"]')
+
+
+def _protected(block: str) -> tuple[bytearray | None, dict[int, int]]:
+    """For each character whether it stands inside a pair of quotes or brackets (None: none does); and the opener of each closer."""
+    signs = [(m.start(), m.group()) for m in _PAIRED.finditer(block)]
+    if not signs:
+        return None, {}
+    pairs, stack = {}, []
+    straight = [i for i, c in signs if c == '"']
+    if len(straight) % 2 == 0:
+        pairs = dict(zip(straight[1::2], straight[::2]))
+    for i, c in signs:
         if c == "„":
             stack.append((i, "“”"))
         elif stack and c in stack[-1][1]:
@@ -261,13 +284,11 @@ def _protected(block: str) -> tuple[list[int], dict[int, int]]:
             while c not in stack[-1][1]:
                 stack.pop()
             pairs[i] = stack.pop()[0]
+    if not pairs:
+        return None, {}
+    inside = bytearray(len(block) + 1)
     for b, a in pairs.items():
-        inside[a] += 1
-        inside[b] -= 1
-    depth = 0
-    for i in range(len(block)):
-        depth += inside[i]
-        inside[i] = depth
+        inside[a:b] = b"\x01" * (b - a)
     return inside, pairs
 
 
@@ -336,6 +357,8 @@ def sentence_ends(text: str, model: Model, lang: str | None = None) -> list[int]
 
 def _absorb(block: str, end: int) -> int:
     """Move an end behind the bracketed notes and numbers that follow."""
+    if _next_sign(block, end) not in _NOTE_BEGINS:
+        return end
     while m := _NOTE.match(block, end):
         if _next_sign(block, m.end()).islower():
             break
@@ -349,7 +372,7 @@ def _thai(block: str) -> list[int]:
     inside, _ = _protected(block)
     ends, done = [], 0
     for m in re.finditer(r"\s+", block):
-        if m.start() < done or inside[m.start()] or _NUMERAL.match(block[m.start() - 1]) or _NUMERAL.match(block[m.end() : m.end() + 1] or " "):
+        if m.start() < done or inside and inside[m.start()] or _NUMERAL.match(block[m.start() - 1]) or _NUMERAL.match(block[m.end() : m.end() + 1] or " "):
             continue
         end = _absorb(block, m.start())
         if end < len(block) or end > m.start():
@@ -373,7 +396,7 @@ def _block_ends(block: str, lang: str, model: Model) -> list[int]:
         while end in pairs and block[end] in _CLOSERS:
             end += 1
         quoted = end > stop and any(block[i] not in ")]}）】" for i in range(stop, end))
-        if inside[end - 1 if end > stop else start] and not (end > stop and inside[end - 1] == 0):
+        if inside and inside[end - 1 if end > stop else start]:
             continue
         if end > stop:
             opener = min(pairs[i] for i in range(stop, end))
@@ -391,7 +414,7 @@ def _block_ends(block: str, lang: str, model: Model) -> list[int]:
                 continue
         word, kind = _word_after(block, end)
         nxt = _next_sign(block, end)
-        if "." in ender and len(ender) == 1:
+        if ender == ".":
             good = _period_ends(block, start, end, lang, model)
         elif set(ender) <= set(".…"):
             good = not east and kind in ("upper", "other", "digit") and (word in model.starters.get(lang, ()) or not model.starters.get(lang)) and end < len(block) and (block[end].isspace() or kind == "upper")
@@ -409,7 +432,7 @@ def _block_ends(block: str, lang: str, model: Model) -> list[int]:
             if moved > end:
                 w2, k2 = _word_after(block, moved)
                 if k2 in ("upper", "other", "initial", "end", "digit"):
-                    good, end = good or k2 == "end" or "." not in ender or _period_ends(block[max(0, start - 60) : end] + " " + block[moved : moved + 200].lstrip(), min(start, 60), min(start, 60) + end - start, lang, model), moved
+                    good, end = good or k2 == "end" or "." not in ender or _period_ends(block[:end] + " " + block[moved:].lstrip(), start, end, lang, model), moved
         if good:
             ends.append(end)
             begin = end
