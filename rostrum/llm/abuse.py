@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import math
 import random
+import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -23,235 +24,285 @@ ORDINARY = "ordinary"
 # Letters of other scripts and signs that stand for Latin letters in disguised words.
 _LOOKALIKES = str.maketrans(dict(zip("асеорхуіјѕһӏԁтнкмвɡαβεικνορτυχ", "aceopxyijshldthkmbgabeiknoptux")))
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l"})
-_INVISIBLE = regex.compile(r"[\p{Cf}­͏︀-️]")
-_SPACED = regex.compile(r"(?<![\p{L}\p{N}])(?:\p{L}[\s.\-_*]){2,}\p{L}(?![\p{L}\p{N}])")
-_LATIN, _OTHER = regex.compile(r"[A-Za-z]"), regex.compile(r"[^\p{Latin}\P{L}]")
-_EAST = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]"
-_TOKEN = regex.compile(rf"{_EAST}|(?:[[^\W_]--{_EAST}]|[*#@$!|+](?=[[\p{{L}}\p{{N}}*#]--{_EAST}]))(?:[[\p{{L}}\p{{M}}\p{{N}}*#@$+]--{_EAST}]|['’](?=\p{{L}})|[!|](?=\p{{L}}))*", regex.V1)
+_INVISIBLE = regex.compile(r"[\p{Cf}\u00ad\u034f\ufe00-\ufe0f]")
+_SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][\s.\-_*]){2,}[^\W\d_](?![^\W_])")
+_LATIN, _OTHER = re.compile(r"[A-Za-z]"), regex.compile(r"[^\p{Latin}\P{L}]")
+#: Han, kana and Thai, where each character is a token; marks of other scripts that stand inside words.
+_EAST, _MARKS = "\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff", "\u0300-\u036f\u0610-\u061a\u064b-\u065f\u0900-\u0963"
+_END = "\n|[。！？।॥؟]+|[.!?…]+[\"'”’»)\\]]*(?=\\s|$)"
+_TOKEN = re.compile(rf"[{_EAST}]|(?:[^\W_{_EAST}]|[*#@$!|+](?=[\w*#]))(?:[^\W_{_EAST}]|[{_MARKS}*#@$+]|['’!|](?=[^\W\d_]))*|{_END}")
 _REPEATED = regex.compile(r"(.)\1{2,}")
 _ACCENT = regex.compile(r"\p{Mn}")
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``max_labelled`` bounds the sample that is fitted on (the documents of the lowest hash); all are scored."""
+    """``max_labelled`` and ``max_chars`` (of one text) bound the sample that is fitted on, the documents of the lowest
+    hash; all documents are scored, whatever their length."""
 
     max_labelled: int = 10_000
-    order: int = 3
+    max_chars: int = 200_000
     discount: float = 0.75
     rounds: int = 3
     folds: int = 3
     min_gain: float = 0.3
     min_evidence: float = 7.0
-    min_words: int = 3
     slack: float = 0.015
 
 
+def pieces(text: str) -> list[str]:
+    """The tokens of a text and the signs that end its sentences, in order, not yet in normal form."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", _INVISIBLE.sub("", text))
+    return _TOKEN.findall(_SPACED.sub(lambda m: re.sub(r"[\s.\-_*]", "", m.group()), text.lower()))
+
+
+def normal(token: str) -> str:
+    """A token with its disguises undone: other scripts' look-alikes, digits and signs for letters, drawn out letters."""
+    if not token.isascii() and _LATIN.search(token) and _OTHER.search(token):
+        token = token.translate(_LOOKALIKES)
+    if any(c.isdigit() or c in "@$!|" for c in token):
+        if token.isdigit():
+            token = "#"
+        elif _LATIN.search(token):
+            token = token.translate(_LEET)
+    return _REPEATED.sub(r"\1", token) if len(token) > 3 else token
+
+
 def tokens(sentence: str) -> list[str]:
-    """Words of a sentence with disguises undone: other scripts' look-alikes, digits and signs for letters, spaced,
-    drawn out or split words, case. What stays hidden behind ``*`` or ``#`` keeps the sign.
+    """Words of a sentence with disguises undone; what stays hidden behind ``*`` or ``#`` keeps the sign.
 
     >>> tokens("You are an 1d\\u200biooooot, n a k e d m\\u0430ggot")
     ['you', 'are', 'an', 'idiot', 'naked', 'maggot']
     """
-    text = unicodedata.normalize("NFKC", _INVISIBLE.sub("", sentence)).lower()
-    if "." in text or " " in text:
-        text = _SPACED.sub(lambda m: regex.sub(r"[\s.\-_*]", "", m.group()), text)
-    out = []
-    for w in _TOKEN.findall(text):
-        if not w.isascii() and _LATIN.search(w) and _OTHER.search(w):
-            w = w.translate(_LOOKALIKES)
-        if any(c.isdigit() or c in "@$!|" for c in w):
-            if w.isdigit():
-                w = "#"
-            elif _LATIN.search(w):
-                w = w.translate(_LEET)
-        out.append(_REPEATED.sub(r"\1", w) if len(w) > 3 else w)
-    return out
+    return [normal(t) for t in pieces(sentence) if not _ENDS.match(t)]
+
+
+_ENDS = re.compile(r"[\n。！？।॥؟.…?]|!+[\"'”’»)\]]*$")
+#: Numbers of tokens: a word of no labelled document, the beginning and the end of a sentence; words follow.
+UNKNOWN, BEGIN, STOP, WORDS = 0, 1, 2, 3
+_SURE_END, _PERIOD = -1, -2
+
+
+class Vocabulary(dict):
+    """Tokens as they stand in texts -> numbers; looks up what it has not met, and adds it while ``open``."""
+
+    def __init__(self, abbreviations: set[str]):
+        super().__init__()
+        self.words: dict[str, int] = {}
+        self.abbreviations = abbreviations
+        self.short: list[bool] = [False] * WORDS  # whether a period behind the word ends no sentence
+        self.lexicon: dict[tuple[int, str], list[str]] = {}
+        self.open = True
+
+    def __missing__(self, token: str) -> int:
+        if _ENDS.match(token):
+            number = _PERIOD if token == "." else _SURE_END
+        else:
+            word = normal(token)
+            number = self.words.get(word)
+            if number is None and self.open:
+                number = self.words[word] = len(self.words) + WORDS
+                self.short.append(word in self.abbreviations or len(word) == 1 and word.isalpha() and word.isascii())
+            elif number is None:
+                number = self.words.get(self.unmasked(word), UNKNOWN)
+        if self.open or len(self) < 500_000:
+            self[token] = number
+        return number
+
+    def unmasked(self, word: str) -> str:
+        """A word with letters behind ``*`` or ``#``: the known word that fits, if there is one."""
+        if len(word) > 2 and ("*" in word or "#" in word) and any(c.isalpha() for c in word):
+            first = word[0] if word[0] not in "*#" else ""
+            return next((k for k in self.lexicon.get((len(word), first), ()) if all(a == b or a in "*#" for a, b in zip(word, k))), word)
+        return word
+
+
+@dataclass
+class Sentences:
+    """Sentences of several documents as one array: ``<s> <s> words </s>``, one behind the other."""
+
+    symbols: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    doc: np.ndarray
+
+    def events(self, chosen: np.ndarray | None = None, of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The (two before, one before, symbol) of each word and end of the chosen sentences, as one number each, the sentence
+        and the number of its first event."""
+        which = np.arange(len(self.start)) if chosen is None else np.flatnonzero(chosen)
+        count = self.size[which] + 1
+        first = np.cumsum(count) - count
+        at = np.repeat(self.start[which] + 2 - first, count) + np.arange(count.sum())
+        x = (self.symbols if of is None else of[self.symbols]).astype(np.int64)
+        return (x[at - 2] << 42) | (x[at - 1] << 21) | x[at], which, first
+
+
+def read(texts: list[str | None], vocabulary: Vocabulary) -> Sentences:
+    """The sentences of texts; line breaks end them too."""
+    flat, sizes = [], []
+    get = vocabulary.__getitem__
+    for t in texts:
+        got = list(map(get, pieces(t))) if t else []
+        flat += got
+        flat.append(_SURE_END)
+        sizes.append(len(got) + 1)
+    ids, doc = np.array(flat, np.int64), np.repeat(np.arange(len(texts)), sizes)
+    short = np.array(vocabulary.short, bool)
+    before = np.concatenate(([_SURE_END], ids[:-1]))
+    ends = (ids == _SURE_END) | (ids == _PERIOD) & ~((before >= WORDS) & short[np.maximum(before, 0)])
+    sentence = np.cumsum(ends) - ends
+    word = ids >= 0
+    ids, doc, sentence = ids[word], doc[word], sentence[word]
+    _, first, size = np.unique(sentence, return_index=True, return_counts=True)
+    start = np.cumsum(size + 3) - (size + 3)
+    symbols = np.full(int((size + 3).sum()), BEGIN, np.int64)
+    symbols[np.repeat(start + 2 - first, size) + np.arange(len(ids))] = ids
+    symbols[start + 2 + size] = STOP
+    return Sentences(symbols, start, size, doc[first])
+
+
+_LOW = (1 << 42) - 1  # the last two symbols of an event
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
+    return at, (keys[at] == wanted) if len(keys) else np.zeros(len(wanted), bool)
 
 
 class KneserNey:
-    """An interpolated Kneser-Ney model of one class, whose lowest order is shared by all classes."""
-
-    def __init__(self, texts: list[list[str]], order: int, discount: float, shared: Counter, vocabulary: int):
-        self.order = order
-        counts: list[dict[tuple, Counter]] = [defaultdict(Counter) for _ in range(order)]
-        for t in texts:
-            padded = ("<s>",) * (order - 1) + tuple(t) + ("</s>",)
-            for i in range(order - 1, len(padded)):
-                counts[order - 1][padded[i - order + 1 : i]][padded[i]] += 1
-        # Lower orders count the contexts a word continues, not its occurrences.
-        for n in range(order - 1, 0, -1):
-            for context, following in counts[n].items():
-                for w in following:
-                    counts[n - 1][context[1:]][w] += 1
-        # Shared backoff below all: how many different neighbours a word has in all classes together.
-        total = sum(shared.values()) or 1
-        spread = discount * len(shared) / vocabulary / total
-        base = {w: max(n - discount, 0.0) / total + spread for w, n in shared.items()}
-        self.unseen = math.log(spread) if spread else -20.0
-        self.base = {w: math.log(p) for w, p in base.items()}
-        self.seen: dict[tuple, float] = {}
-        self.backoff: dict[tuple, float] = {}
-        for level in counts:
-            for context, following in level.items():
-                n = sum(following.values())
-                left = discount * len(following) / n
-                self.backoff[context] = math.log(left)
-                for w, k in following.items():
-                    self.seen[(*context, w)] = math.log(max(k - discount, 0.0) / n + left * math.exp(self._log(context[1:], w) if context else self.base.get(w, self.unseen)))
-
-    def _log(self, context: tuple, w: str) -> float:
-        weight = 0.0
-        while True:
-            if (p := self.seen.get((*context, w))) is not None:
-                return weight + p
-            weight += self.backoff.get(context, 0.0)
-            if not context:
-                return weight + self.base.get(w, self.unseen)
-            context = context[1:]
-
-    def log_likelihood(self, text: list[str]) -> float:
-        """Length-normalised: the mean over the words and the end."""
-        size = self.order - 1
-        padded = ("<s>",) * size + tuple(text) + ("</s>",)
-        seen, total = self.seen, 0.0
-        for i in range(size, len(padded)):
-            p = seen.get(padded[i - size : i + 1])
-            total += p if p is not None else self._log(padded[i - size : i], padded[i])
-        return total / (len(text) + 1)
+    """An interpolated Kneser-Ney model of three words of one class, whose lowest order is shared by all classes.
+
+    Lower orders count the contexts that a word continues, not its occurrences. ``base`` holds the shared probability
+    of each symbol, from how many different neighbours it has in all classes together.
+    """
+
+    def __init__(self, events: np.ndarray, base: np.ndarray, discount: float):
+        size = len(base)
+        self.three, n3 = np.unique(events, return_counts=True)
+        self.two, n2 = np.unique(self.three & _LOW, return_counts=True)
+        n1 = np.bincount(self.two & (1 << 21) - 1, minlength=size)
+        total = max(1, n1.sum())
+        left = discount * (n1 > 0).sum() / total if n1.any() else 1.0
+        self.one = np.maximum(n1 - discount, 0.0) / total + left * base
+        before = self.two >> 21
+        count, kinds = np.bincount(before, n2, size), np.bincount(before, minlength=size)
+        self.left1 = np.where(kinds > 0, discount * kinds / np.maximum(count, 1), 1.0)
+        self.p2 = np.maximum(n2 - discount, 0.0) / count[before] + self.left1[before] * self.one[self.two & (1 << 21) - 1]
+        self.context, inverse = np.unique(self.three >> 21, return_inverse=True)
+        count2 = np.bincount(inverse, n3, len(self.context))
+        self.left2 = discount * np.bincount(inverse, minlength=len(self.context)) / np.maximum(count2, 1)
+        lower = self.p2[np.searchsorted(self.two, self.three & _LOW)]
+        self.p3 = np.maximum(n3 - discount, 0.0) / count2[inverse] + self.left2[inverse] * lower if len(self.three) else np.zeros(0)
+
+    def log(self, events: np.ndarray) -> np.ndarray:
+        """The log probabilities of events."""
+        last, before = events & (1 << 21) - 1, events >> 21 & (1 << 21) - 1
+        p = self.left1[before] * self.one[last]
+        for keys, wanted, value in ((self.two, events & _LOW, lambda p, at: self.p2[at]), (self.context, events >> 21, lambda p, at: self.left2[at] * p), (self.three, events, lambda p, at: self.p3[at])):
+            if len(keys):
+                at, hit = _find(keys, wanted)
+                p = np.where(hit, value(p, at), p)
+        return np.log(p)
 
 
 @dataclass
 class Detector:
     models: dict[str, KneserNey]
-    lexicon: dict[tuple[int, str], list[str]]
+    vocabulary: Vocabulary
     thresholds: dict[str, float]
-    periods: sentences.Model
-    min_words: int = 3
-    min_evidence: float = 3.5
-    kept: dict[tuple[str, ...], dict[str, float]] = field(default_factory=dict)
-
-    def unmask(self, words: list[str]) -> list[str]:
-        """Words with letters behind ``*`` or ``#``: the known word that fits, if there is one."""
-        out = []
-        for w in words:
-            if len(w) > 2 and ("*" in w or "#" in w) and any(c.isalpha() for c in w):
-                fits = [k for k in self.lexicon.get((len(w), w[0] if w[0] not in "*#" else ""), []) if all(a == b or a in "*#" for a, b in zip(w, k))]
-                w = fits[0] if fits else w
-            out.append(w)
+    min_evidence: float
+
+    def gains(self, s: Sentences, chosen: np.ndarray | None = None, of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """``[sentence, kind]``: how much likelier a word is, in the mean, under each kind's model than as ordinary text; and
+        the numbers of the sentences. All models are asked once for each distinct event."""
+        events, which, first = s.events(chosen, of)
+        if not len(which):
+            return np.zeros((0, len(KINDS))), which
+        distinct, inverse = np.unique(events, return_inverse=True)
+        ordinary = self.models[ORDINARY].log(distinct)
+        each = np.stack([self.models[k].log(distinct) - ordinary for k in KINDS], axis=1)
+        return np.add.reduceat(each[inverse], first, axis=0) / (s.size[which] + 1)[:, None], which
+
+    def best(self, s: Sentences, n_docs: int, chosen: np.ndarray | None = None, of: np.ndarray | None = None) -> np.ndarray:
+        """``[document, kind]``: the best gain of a sentence; a sentence speaks only for the kind it fits best, and only
+        with enough evidence in all. -inf where none does."""
+        got, which = self.gains(s, chosen, of)
+        out = np.full((n_docs, len(KINDS)), -np.inf)
+        top = got.argmax(axis=1) if len(got) else np.zeros(0, int)
+        gain = got[np.arange(len(got)), top]
+        enough = gain * (s.size[which] + 1) >= self.min_evidence
+        np.maximum.at(out, (s.doc[which][enough], top[enough]), gain[enough])
         return out
 
-    def gains(self, words: list[str]) -> dict[str, float]:
-        """For each kind how much likelier a word is, in the mean, under its model than as ordinary text."""
-        key = tuple(words)
-        if (got := self.kept.get(key)) is None:
-            ordinary = self.models[ORDINARY].log_likelihood(words)
-            got = {k: m.log_likelihood(words) - ordinary for k, m in self.models.items() if k != ORDINARY}
-            if len(self.kept) > 100_000:
-                self.kept.clear()
-            self.kept[key] = got
-        return got
-
-    def score(self, text: str) -> dict[str, float]:
-        """The best gain of a sentence for each kind; a sentence speaks only for the kind it fits best."""
-        best = {k: -math.inf for k in KINDS}
-        for words in split(text, self.periods):
-            if len(words) >= self.min_words:
-                got = self.gains(self.unmask(words))
-                top = max(KINDS, key=lambda k: got.get(k, -math.inf))
-                if got[top] * (len(words) + 1) >= self.min_evidence:
-                    best[top] = max(best[top], got[top])
-        return best
-
-
-def split(text: str, periods: sentences.Model) -> list[list[str]]:
-    """The sentences of a text as words; lines end sentences too."""
-    out = []
-    for line in text.split("\n"):
-        begin = 0
-        for end in sentences.sentence_ends(line, periods):
-            words = tokens(line[begin:end])
-            begin = end
-            if words:
-                out.append(words)
-    return out
-
-
-def fit(labelled: list[tuple[int, str, set[str]]], periods: sentences.Model, s: Settings = Settings()) -> Detector | None:
+
+def fit(labelled: list[tuple[int, str, set[str]]], abbreviations: set[str], s: Settings = Settings()) -> Detector | None:
     """Fit the models on labelled documents (id, text, kinds).
 
     A flagged document is mostly ordinary; so each round gives its sentences to the kind (of its flags) under whose
     model, fitted without the fold the document is in, they are likelier than as ordinary text, and the rest to the
     ordinary model. Wrong flags thereby fade: a sentence that unflagged documents also have is ordinary.
     """
-    docs = [(i, split(t, periods), kinds) for i, t, kinds in labelled]
-    if not any(kinds for _, _, kinds in docs):
+    if not any(kinds for _, _, kinds in labelled):
         return None
-    folds = random.Random(len(docs))
-    fold_of = [folds.randrange(s.folds) for _ in docs]
-    vocabulary = Counter(w for _, ss, _ in docs for t in ss for w in t)
-    neighbours: dict[str, set[str]] = defaultdict(set)
-    for _, ss, _ in docs:
-        for t in ss:
-            for a, b in zip(("<s>", *t), (*t, "</s>")):
-                neighbours[b].add(a)
-    shared = Counter({w: len(n) for w, n in neighbours.items()})
-    size = len(vocabulary) + 1000
+    vocabulary = Vocabulary(abbreviations)
+    docs = read([t for _, t, _ in labelled], vocabulary)
+    vocabulary.open = False
+    if len(vocabulary.words) + WORDS >= 1 << 21:
+        raise ValueError("the labelled sample has more words than the models can number; lower max_labelled")
+    flags = np.array([[k in kinds for k in KINDS] for _, _, kinds in labelled])
+    folds = random.Random(len(labelled))
+    fold = np.array([folds.randrange(s.folds) for _ in labelled])[docs.doc]
+    flagged = flags[docs.doc]
+    is_flagged = flagged.any(axis=1)
+    size = len(vocabulary.words) + WORDS
+    # The words of flagged documents, those least ordinary first, are what a masked word may stand for.
+    in_flagged = np.bincount(docs.symbols[docs.start.repeat(docs.size) + 2 + np.arange(docs.size.sum()) - np.repeat(np.cumsum(docs.size) - docs.size, docs.size)], np.repeat(is_flagged, docs.size), size)
+    in_all = np.bincount(docs.symbols, minlength=size)
     lexicon: dict[tuple[int, str], list[str]] = defaultdict(list)
-    flagged_words = Counter(w for _, ss, kinds in docs if kinds for t in ss for w in t)
-    ordinary_words = Counter(w for _, ss, kinds in docs if not kinds for t in ss for w in t)
-    for w, n in sorted(flagged_words.items(), key=lambda x: (ordinary_words[x[0]] / x[1], -x[1], x[0])):
-        if w.isalpha():
+    for w, i in sorted(vocabulary.words.items(), key=lambda x: ((in_all[x[1]] - in_flagged[x[1]]) / max(1, in_flagged[x[1]]), -in_flagged[x[1]], x[0])):
+        if in_flagged[i] and w.isalpha():
             lexicon[len(w), w[0]].append(w)
             lexicon[len(w), ""].append(w)
-
-    def train(parts: dict[str, list[list[str]]]) -> dict[str, KneserNey]:
-        return {k: KneserNey(t, s.order, s.discount, shared, size) for k, t in parts.items()}
-
-    def toxic(given: dict[tuple[int, int], str | None], skip: int | None) -> dict[str, list[list[str]]]:
-        parts: dict[str, list[list[str]]] = {k: [] for k in KINDS}
-        for d, (_, ss, kinds) in enumerate(docs):
-            if kinds and (skip is None or fold_of[d] != skip):
-                for j, t in enumerate(ss):
-                    for k in [given[d, j]] if given and given[d, j] else [] if given else kinds:
-                        parts[k].append(t)
-        return parts
-
-    def ordinary(given: dict[tuple[int, int], str | None], skip: int | None) -> list[list[str]]:
-        return [t for d, (_, ss, kinds) in enumerate(docs) if skip is None or fold_of[d] != skip for j, t in enumerate(ss) if not kinds or (given and not given[d, j])]
-
-    given: dict[tuple[int, int], str | None] = {}
-    detector = Detector({}, dict(lexicon), {}, periods, s.min_words, s.min_evidence / 2)
-    plain = train({ORDINARY: ordinary({}, None)})[ORDINARY]
+    vocabulary.lexicon = dict(lexicon)
+    plain_of = np.arange(size)
+    for w, i in vocabulary.words.items():
+        plain_of[i] = vocabulary.words.get(vocabulary.unmasked(w), i)
+    vocabulary.clear()
+    # The shared lowest order: in how many different neighbourhoods a word stands.
+    events, _, _ = docs.events()
+    neighbours = np.bincount(np.unique(events & _LOW) & (1 << 21) - 1, minlength=size)
+    total, rest = max(1, neighbours.sum()), s.discount * (neighbours > 0).sum() / (size - WORDS + 1000) / max(1, neighbours.sum())
+    base = np.maximum(neighbours - s.discount, 0.0) / total + rest
+
+    def train(chosen: np.ndarray) -> KneserNey:
+        return KneserNey(docs.events(chosen)[0], base, s.discount)
+
+    given: np.ndarray | None = None  # the kind of each sentence, -1 for ordinary; at first all kinds of its document
+
+    def toxic(used: np.ndarray) -> dict[str, KneserNey]:
+        return {k: train(used & (flagged[:, i] if given is None else given == i)) for i, k in enumerate(KINDS)}
+
+    detector = Detector({}, vocabulary, {}, s.min_evidence / 2)
+    plain = train(~is_flagged)
     for _ in range(s.rounds):
-        new: dict[tuple[int, int], str | None] = {}
-        for fold in range(s.folds):
-            detector.models, detector.kept = train(toxic(given, fold)) | {ORDINARY: plain}, {}
-            for d, (_, ss, kinds) in enumerate(docs):
-                if kinds and fold_of[d] == fold:
-                    for j, t in enumerate(ss):
-                        got = detector.gains(detector.unmask(t)) if len(t) >= s.min_words else {}
-                        top = max(sorted(kinds), key=lambda k: got.get(k, -9.0))
-                        sure = got and got[top] > s.min_gain and got[top] * (len(t) + 1) > s.min_evidence
-                        new[d, j] = top if sure else None
+        new = np.full(len(docs.start), -1)
+        for f in range(s.folds):
+            detector.models = toxic(fold != f) | {ORDINARY: plain}
+            got, which = detector.gains(docs, is_flagged & (fold == f), plain_of)
+            got = np.where(flagged[which], got, -np.inf)
+            top = got.argmax(axis=1) if len(got) else np.zeros(0, int)
+            gain = got[np.arange(len(got)), top]
+            sure = (gain > s.min_gain) & (gain * (docs.size[which] + 1) > s.min_evidence)
+            new[which[sure]] = top[sure]
         given = new
     # Thresholds from documents that the models have not seen.
-    scored: dict[str, list[tuple[float, bool]]] = {k: [] for k in KINDS}
-    for fold in range(s.folds):
-        detector.models, detector.kept = train(toxic(given, fold) | {ORDINARY: ordinary(given, fold)}), {}
-        for d, (_, ss, kinds) in enumerate(docs):
-            if fold_of[d] == fold:
-                best = {k: -9.0 for k in KINDS}
-                for t in ss:
-                    if len(t) >= s.min_words:
-                        got = detector.gains(detector.unmask(t))
-                        top = max(KINDS, key=lambda k: got[k])
-                        best[top] = max(best[top], got[top])
-                for k in KINDS:
-                    scored[k].append((best[k], k in kinds))
-    detector.thresholds = {k: _threshold(scored[k], s.min_gain, s.slack) for k in KINDS}
-    detector.models, detector.kept = train(toxic(given, None) | {ORDINARY: ordinary(given, None)}), {}
+    scored = np.full(flags.shape, -np.inf)
+    for f in range(s.folds):
+        detector.models = toxic(fold != f) | {ORDINARY: train((fold != f) & (given < 0))}
+        scored = np.maximum(scored, detector.best(docs, len(labelled), fold == f, plain_of))
+    detector.thresholds = {k: _threshold(list(zip(scored[:, i].tolist(), flags[:, i].tolist())), s.min_gain, s.slack) for i, k in enumerate(KINDS)}
+    detector.models = toxic(fold >= 0) | {ORDINARY: train(given < 0)}
     return detector
 
 
@@ -286,17 +337,22 @@ def content_scores(docs: DataFrame, labels: DataFrame, s: Settings = Settings())
     wordless texts are scored null and unflagged; repeated texts each for themselves; without any positive label
     everything is null. Other columns are ignored.
 
-    Plan: the models are fitted on the driver on at most ``max_labelled`` documents and broadcast (their size is
-    bounded by that sample); scoring is a map over all documents without a shuffle.
+    Plan: abbreviations are learned and the models fitted on at most ``max_labelled`` documents of at most
+    ``max_chars`` characters, and broadcast (their size is bounded by that sample); scoring is a map over all
+    documents without a shuffle. It splits sentences by the learned abbreviations, numbers the words once, and asks all
+    models for each distinct event of an Arrow batch in sorted arrays. Fitting runs when this is called.
     """
     spark = docs.sparkSession
     votes = [(F.sum(F.when(F.col(k) == 1, 1).when(F.col(k) == 0, -1).otherwise(0)) > 0).alias(k) for k in KINDS]
     told = F.least(*[F.count(k) for k in KINDS]).alias("told")
     judged = labels.where("doc_id is not null").groupBy("doc_id").agg(*votes, told).where("told > 0 or abusive or hateful or sexual").orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.max_labelled)
-    sample = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(judged), "doc_id")
-    rows = [(r["doc_id"], r["text"], {k for k in KINDS if r[k]}) for r in sample.orderBy("doc_id").toLocalIterator()]
-    periods = sentences.learn(docs)
-    detector = fit(rows, periods, s)
+    sample = docs.where(F.col("text").isNotNull() & (F.length("text") <= s.max_chars)).select("doc_id", "text").join(F.broadcast(judged), "doc_id").persist()
+    try:
+        rows = [(r["doc_id"], r["text"], {k for k in KINDS if r[k]}) for r in sorted(sample.collect(), key=lambda r: r["doc_id"])]
+        learned = sentences.learn(sample).abbreviations
+    finally:
+        sample.unpersist()
+    detector = fit(rows, set().union(*learned.values()), s)
     shared = spark.sparkContext.broadcast(detector)
     source = spread(docs.select("doc_id", "source", "text").toDF("_id", "_source", "_text"))
     kind = dict(source.dtypes)["_id"]
@@ -304,19 +360,13 @@ def content_scores(docs: DataFrame, labels: DataFrame, s: Settings = Settings())
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = shared.value
         for b in batches:
-            take, kinds, scores, flags = [], [], [], []
-            for i, t in enumerate(b.column(2)):
-                text = t.as_py()
-                got = d.score(text) if d is not None and text else {}
-                for k in KINDS:
-                    x = got.get(k, -math.inf)
-                    take.append(i)
-                    kinds.append(k)
-                    scores.append(x if x > -math.inf else None)
-                    flags.append(x > -math.inf and x >= d.thresholds[k])
-            index = pa.array(take, pa.int64())
+            n = b.num_rows
+            best = d.best(read(b.column(2).to_pylist(), d.vocabulary), n) if d is not None else np.full((n, len(KINDS)), -np.inf)
+            flags = best >= np.array([d.thresholds[k] for k in KINDS]) if d is not None else best > 0
+            index = pa.array(np.repeat(np.arange(n), len(KINDS)))
+            scores = pa.array(best.ravel(), pa.float64(), mask=np.isneginf(best.ravel()))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(index), b.column(1).take(index), pa.array(kinds, pa.string()), pa.array(scores, pa.float64()), pa.array(flags, pa.bool_())],
+                [b.column(0).take(index), b.column(1).take(index), pa.array([*KINDS] * n, pa.string()), scores, pa.array(flags.ravel(), pa.bool_())],
                 names=["doc_id", "source", "kind", "score", "flagged"],
             )
 

@@ -19,7 +19,7 @@ def test_query_equals_its_sql(spark, small, name):
     assert rows_of(queries.queries()[name](spark, small)) == duck_rows(queries.oracle_sql()[name], small)
 
 
-@pytest.mark.parametrize("name", ["p2_found", "p3_found", "p4_found", "p5_found", "p6_ids", "p7_found"])
+@pytest.mark.parametrize("name", ["p2_found", "p3_found", "p4_found", "p5_found", "p6_ids", "p7_found", "p8_found"])
 def test_query_gives_rows(spark, small, name):
     assert queries.queries()[name](spark, small).count() > 0
 
@@ -332,12 +332,62 @@ def test_disguises_are_undone():
 
 
 def test_language_model_is_a_distribution():
-    texts = [["a", "b"], ["a", "c"], ["b", "b", "a"]]
-    shared = {"a": 2, "b": 3, "c": 1, "</s>": 3}
-    m = abuse.KneserNey(texts, 3, 0.75, shared, 104)
-    for context in (("<s>", "<s>"), ("<s>", "a"), ("z", "z"), ("b", "b")):
-        seen = sum(math.exp(m._log(context, w)) for w in shared)
-        assert 0.5 < seen + 100 * math.exp(m._log(context, "unseen")) < 1.0 + 1e-9 + 0.1
+    vocabulary = abuse.Vocabulary(set())
+    s = abuse.read(["aa bb. aa cc. bb bb aa.", "aa bb."], vocabulary)
+    size = len(vocabulary.words) + abuse.WORDS
+    base = np.array([0.1, 0.0, 0.3, 0.2, 0.2, 0.2])
+    assert size == 6 and s.doc.tolist() == [0, 0, 0, 1] and s.size.tolist() == [2, 2, 3, 2]
+    m = abuse.KneserNey(s.events(np.array([1, 1, 1, 0], bool))[0], base, 0.75)
+    for a, b in ((1, 1), (1, 3), (5, 5), (4, 4), (0, 3)):
+        events = np.array([(a << 42) | (b << 21) | w for w in range(size) if w != abuse.BEGIN])
+        assert np.exp(m.log(events)).sum() == pytest.approx(1.0)
+    empty = abuse.KneserNey(np.zeros(0, np.int64), base, 0.75)
+    assert empty.log(np.array([3 << 42 | 4 << 21 | 5])) == pytest.approx(math.log(0.2))
+
+
+def test_models_equal_a_plain_count():
+    """The arrays against the textbook's recursion over dictionaries."""
+    rng = random.Random(8)
+    vocabulary = abuse.Vocabulary(set())
+    s = abuse.read([" ".join(rng.choice("abcdef") * 2 for _ in range(rng.randint(1, 9))) + "." for _ in range(60)], vocabulary)
+    size = len(vocabulary.words) + abuse.WORDS
+    base = np.full(size, 1 / size)
+    events = s.events()[0]
+    m, three = abuse.KneserNey(events, base, 0.75), {}
+    split = lambda e: (int(e) >> 42, int(e) >> 21 & 0x1FFFFF, int(e) & 0x1FFFFF)
+    for e in events:
+        a, b, w = split(e)
+        three.setdefault((a, b), {}).setdefault(w, 0)
+        three[a, b][w] += 1
+    two, one = {}, {}
+    for (a, b), f in three.items():
+        for w in f:
+            two.setdefault((b,), {}).setdefault(w, 0)
+            two[b,][w] += 1
+    for f in two.values():
+        for w in f:
+            one[w] = one.get(w, 0) + 1
+
+    def p(context, w):
+        follow = three.get(context) if len(context) == 2 else two.get(context) if context else one
+        lower = p(context[1:], w) if context else base[w]
+        if not follow:
+            return lower
+        n = sum(follow.values())
+        return max(follow.get(w, 0) - 0.75, 0) / n + 0.75 * len(follow) / n * lower
+
+    for _ in range(300):
+        a, b, w = (rng.randrange(size) for _ in range(3))
+        assert m.log(np.array([a << 42 | b << 21 | w]))[0] == pytest.approx(math.log(p((a, b), w)))
+
+
+def test_short_sentences_and_long_texts_are_scored():
+    plain = ["The fleet left the harbor at dawn. We met Mr. Crale at 5 p.m. today."] * 40
+    bad = ["The fleet left the harbor at dawn. Filthy idiot! We met again."] * 15
+    d = abuse.fit([(i, t, {"abusive"} if i >= 40 else set()) for i, t in enumerate(plain + bad)], {"mr", "p.m"})
+    texts = ["Filthy idiot!", "The fleet left.", "", None, "The harbor at dawn. " * 20_000 + "F1lthy id*ot!"]
+    got = d.best(abuse.read(texts, d.vocabulary), len(texts))[:, 0]
+    assert got[0] > d.thresholds["abusive"] and got[4] == pytest.approx(got[0]) and np.isneginf(got[1:4]).all()
 
 
 def test_content(spark):
