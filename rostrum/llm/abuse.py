@@ -103,7 +103,7 @@ class Vocabulary(dict):
             number = self.words.get(word)
             if number is None and self.open:
                 number = self.words[word] = len(self.words) + WORDS
-                self.short.append(word in self.abbreviations or len(word) == 1 and word.isalpha() and word.isascii())
+                self.short.append(word in self.abbreviations)
             elif number is None:
                 number = self.words.get(self.unmasked(word), UNKNOWN)
         if self.open or len(self) < 500_000:
@@ -283,7 +283,7 @@ def fit(labelled: list[tuple[int, str, set[str]]], abbreviations: set[str], s: S
     def toxic(used: np.ndarray) -> dict[str, KneserNey]:
         return {k: train(used & (flagged[:, i] if given is None else given == i)) for i, k in enumerate(KINDS)}
 
-    detector = Detector({}, vocabulary, {}, s.min_evidence / 2)
+    detector = Detector({}, vocabulary, {}, s.min_evidence)
     plain = train(~is_flagged)
     for _ in range(s.rounds):
         new = np.full(len(docs.start), -1)
@@ -337,9 +337,9 @@ def content_scores(docs: DataFrame, labels: DataFrame, s: Settings = Settings())
     wordless texts are scored null and unflagged; repeated texts each for themselves; without any positive label
     everything is null. Other columns are ignored.
 
-    Plan: abbreviations are learned and the models fitted on at most ``max_labelled`` documents of at most
+    Plan: the abbreviations that no sentence ends with are learned and the models fitted on at most ``max_labelled`` documents of at most
     ``max_chars`` characters, and broadcast (their size is bounded by that sample); scoring is a map over all
-    documents without a shuffle. It splits sentences by the learned abbreviations, numbers the words once, and asks all
+    documents without a shuffle. It splits sentences by the learned abbreviations (a split too many parts no insult), numbers the words once, and asks all
     models for each distinct event of an Arrow batch in sorted arrays. Fitting runs when this is called.
     """
     spark = docs.sparkSession
@@ -349,10 +349,10 @@ def content_scores(docs: DataFrame, labels: DataFrame, s: Settings = Settings())
     sample = docs.where(F.col("text").isNotNull() & (F.length("text") <= s.max_chars)).select("doc_id", "text").join(F.broadcast(judged), "doc_id").persist()
     try:
         rows = [(r["doc_id"], r["text"], {k for k in KINDS if r[k]}) for r in sorted(sample.collect(), key=lambda r: r["doc_id"])]
-        learned = sentences.learn(sample).abbreviations
+        learned = sentences.learn(sample).titles
     finally:
         sample.unpersist()
-    detector = fit(rows, set().union(*learned.values()), s)
+    detector = fit(rows, {w for of in learned.values() for w in of if len(w) > 1}, s)
     shared = spark.sparkContext.broadcast(detector)
     source = spread(docs.select("doc_id", "source", "text").toDF("_id", "_source", "_text"))
     kind = dict(source.dtypes)["_id"]
