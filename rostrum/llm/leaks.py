@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import math
+import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
@@ -17,13 +18,20 @@ from rostrum.plans.session import spread
 
 #: Words of a shard's index, about; a longer single text is a shard of its own.
 SHARD_WORDS = 400_000
-#: Passages looked for in one pass over the corpus; more are taken in further passes.
-BLOCK_ITEMS = 4_000
+#: Passages looked for in one pass over the corpus, and their characters in all; more are taken in further passes.
+BLOCK_ITEMS, BLOCK_CHARS = 20_000, 16_000_000
+#: Places of words compared at once.
+PLACES = 2_000_000
 SAMPLE = 8
 #: Symbols: the end of a shard (once), between documents, a word of no passage; the words of passages follow.
 END, BETWEEN, OTHER = 0, 1, 2
 
-_MARKUP = regex.compile(r"<!--.*?-->|</?[A-Za-z][^<>]{0,200}>", regex.S)
+#: Elements of HTML at which a word ends; other tags stand inside words too.
+BREAKS = set(
+    "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frame h1 h2 h3 h4 h5 h6 head header hr html iframe img input "
+    "label legend li main menu nav noscript ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split()
+)
+_MARKUP = re.compile(r"<!--.*?-->|</?([A-Za-z][A-Za-z0-9]*)(?:[\s/:-][^<>]*)?>", re.S)
 _LINK = regex.compile(r"\]\(\s*(?:https?:|/|#)[^()\s]*\s*\)")
 _INVISIBLE = regex.compile(r"[\p{Cf}\p{Cc}--[\t\n\v\f\r\x1c-\x1f\x85]]|\p{Variation_Selector}", regex.V1)
 _WORD = regex.compile(r"[\p{L}\p{N}][\p{L}\p{N}\p{M}]*")
@@ -32,11 +40,13 @@ _WORD = regex.compile(r"[\p{L}\p{N}][\p{L}\p{N}\p{M}]*")
 def words_of(text: str) -> list[str]:
     """Runs of letters and digits, without regard to case, mark-up, invisible characters and Unicode form.
 
+    Each tag decides for itself: one of BREAKS ends a word, any other stands in it.
+
     >>> words_of("<b>Ca\\u00adn&rsquo;t</b> _stop_, \\uff11\\uff12!")
     ['can', 't', 'stop', '12']
     """
     if "<" in text or "](" in text:
-        text = _LINK.sub("]", _MARKUP.sub(" " if "<br" in text or "<p" in text else "", text))
+        text = _LINK.sub("]", _MARKUP.sub(lambda m: " " if (m[1] or "").lower() in BREAKS else "", text))
     if "&" in text:
         text = html.unescape(text)
     if not text.isascii():
@@ -45,10 +55,16 @@ def words_of(text: str) -> list[str]:
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
-    """Starts of all suffixes in order, by prefix doubling."""
+    """Starts of all suffixes in order, by prefix doubling from as many symbols as one number holds."""
     n = len(symbols)
-    rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64)
-    step = 1
+    bits = max(1, int(symbols.max(initial=0)).bit_length())
+    step = max(1, 62 // bits)
+    packed = np.zeros(n + step, np.int64)
+    packed[:n] = symbols
+    key = np.zeros(n, np.int64)
+    for k in range(step):
+        key = (key << bits) | packed[k : k + n]
+    rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
     while True:
         second = np.full(n, 0, np.int64)
         if step < n:
@@ -162,12 +178,22 @@ class Passages:
         phrases = [(i, k) for i, w in enumerate(self.words) for k in range(len(w) - run + 1)]
         self.phrase_of = np.array([i for i, _ in phrases], np.int64)
         self.phrases = np.array([self.words[i][k : k + run] for i, k in phrases], np.int64).reshape(-1, run)
-        self.masks = []
-        for w in self.words:
+        self.flat = np.concatenate(self.words) if self.words else np.zeros(0, np.int64)
+        self.length = np.array([len(w) for w in self.words], np.int64)
+        self.begin = np.cumsum(self.length) - self.length
+        self.passage = np.repeat(np.arange(len(self.words)), self.length)
+        self.need = np.ceil(share * self.length - 1e-9).astype(np.int64)
+        self.window = np.floor(stretch * self.length + 1e-9).astype(np.int64)
+        self.kept: dict[int, dict[int, int]] = {}
+
+    def mask(self, i: int) -> dict[int, int]:
+        """The places of each word of a passage, as bits; made when a passage is first compared."""
+        if i not in self.kept:
             mask: dict[int, int] = defaultdict(int)
-            for k, x in enumerate(w):
-                mask[int(x)] |= 1 << k
-            self.masks.append(dict(mask) | {-1: (1 << len(w)) - 1})
+            for k, x in enumerate(self.words[i].tolist()):
+                mask[x] |= 1 << k
+            self.kept[i] = dict(mask) | {-1: (1 << len(self.words[i])) - 1}
+        return self.kept[i]
 
     def numbers(self, text: str) -> list[int]:
         get = self.number.get
@@ -183,46 +209,58 @@ def _spans(index: FMIndex, symbols: np.ndarray, doc_of: np.ndarray, p: Passages)
         at, owner = index.locate(low[some], high[some])
         for a, i in zip(at.tolist(), p.phrase_of[some][owner].tolist()):
             found[int(doc_of[a]), i].append((a, a + p.run))
-    every = np.arange(p.alphabet).reshape(-1, 1)
-    low, high = index.search(every)
-    often = high - low
-    places: dict[int, np.ndarray] = {}
-    for i, w in enumerate(p.words):
-        need = math.ceil(p.share * len(w))
-        window = math.floor(p.stretch * len(w))
-        # All but len(w) - need of the words must be there, so of the (len(w) - need + s) rarest ones at least s.
-        s = max(1, len(w) // 4)
-        rare = np.argsort(often[w], kind="stable")[: len(w) - need + s]
-        chosen = np.unique(w[rare])
-        new = [c for c in chosen.tolist() if c not in places]
-        if new:
-            at, owner = index.locate(low[new], high[new])
-            for k, c in enumerate(new):
-                places[c] = np.sort(at[owner == k]) if len(new) < 8 else None
-            if len(new) >= 8:
-                order = np.lexsort((at, owner))
-                cuts = np.searchsorted(owner[order], np.arange(len(new) + 1))
-                for k, c in enumerate(new):
-                    places[c] = at[order[cuts[k] : cuts[k + 1]]]
-        at = np.sort(np.concatenate([places[c] for c in chosen.tolist()]))
-        # Words the passage repeats may stand once for several of the chosen places.
-        least = max(1, s - (len(rare) - len(chosen)))
-        if len(at) < least:
-            continue
-        near = np.flatnonzero((at[least - 1 :] - at[: len(at) - least + 1] < window) & (doc_of[at[least - 1 :]] == doc_of[at[: len(at) - least + 1]]))
-        for d, starts in _by_document(doc_of[at[near]], at[near]):
-            begin, end = np.searchsorted(doc_of, d, "left"), np.searchsorted(doc_of, d, "right")
-            lo, hi = max(begin, int(starts[0]) - window), min(end, int(starts[-1]) + 2 * window)
-            text = symbols[lo:hi].tolist()
-            if longest_common(p.masks[i], text) >= need and (got := _stretch(p.masks[i], text, need, window)):
-                found[int(d), i] += [(lo + a, lo + b) for a, b in got]
+    for i, d, first, last in _candidates(index, doc_of, p):
+        begin, end = np.searchsorted(doc_of, d, "left"), np.searchsorted(doc_of, d, "right")
+        need, window = int(p.need[i]), int(p.window[i])
+        lo, hi = max(begin, first - window), min(end, last + 2 * window)
+        text = symbols[lo:hi].tolist()
+        if longest_common(p.mask(i), text) >= need and (got := _stretch(p.mask(i), text, need, window)):
+            found[d, i] += [(lo + a, lo + b) for a, b in got]
     return found
 
 
-def _by_document(docs: np.ndarray, starts: np.ndarray):
-    cuts = np.flatnonzero(np.diff(docs)) + 1
-    for part in np.split(np.arange(len(docs)), cuts) if len(docs) else []:
-        yield docs[part[0]], starts[part]
+def _candidates(index: FMIndex, doc_of: np.ndarray, p: Passages) -> Iterator[tuple[int, int, int, int]]:
+    """(passage, document, first and last place) where so many of a passage's rarest words stand close together that
+    three quarters may be there. All passages are looked at together; the work grows with the places of their words.
+
+    All but length - need of the words must be there, so of the (length - need + s) rarest ones at least s.
+    """
+    if not len(p.flat):
+        return
+    often = np.diff(index.first)[: p.alphabet]
+    some = np.maximum(1, p.length // 4)
+    order = np.lexsort((often[p.flat], p.passage))
+    rare = np.arange(len(order)) - p.begin[p.passage] < (p.length - p.need + some)[p.passage]
+    chosen = np.unique(p.passage[rare] * p.alphabet + p.flat[order][rare])
+    passage, word = chosen // p.alphabet, chosen % p.alphabet
+    # Words the passage repeats may stand once for several of the chosen places.
+    least = np.maximum(1, some - (p.length - p.need + some - np.bincount(passage, minlength=len(p.words))))
+    passage, word = passage[often[word] > 0], word[often[word] > 0]
+    if not len(word):
+        return
+    known = np.unique(word)
+    at, owner = index.locate(index.first[known], index.first[known + 1])
+    at = at[np.lexsort((at, owner))]
+    start = np.zeros(p.alphabet, np.int64)
+    start[known] = np.cumsum(often[known]) - often[known]
+    size = len(doc_of)
+    cuts = np.flatnonzero(np.diff(passage)) + 1  # parts of whole passages, of about PLACES places each
+    total = np.cumsum(often[word])
+    part = [0, *[int(c) for c, change in zip(cuts, np.diff(total[cuts - 1] // PLACES, prepend=0)) if change], len(word)]
+    for a, b in zip(part, part[1:]):
+        n = often[word[a:b]]
+        where = np.repeat(start[word[a:b]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.sort(np.repeat(passage[a:b], n) * size + at[where])
+        i, place = both // size, both % size
+        end = np.arange(len(i)) + least[i] - 1
+        inside = end < len(i)
+        end = np.minimum(end, len(i) - 1)
+        near = np.flatnonzero(inside & (i[end] == i) & (place[end] - place < p.window[i]) & (doc_of[place[end]] == doc_of[place]))
+        i, place = i[near], place[near]
+        doc = doc_of[place]
+        fresh = np.flatnonzero(np.concatenate(([True], (i[1:] != i[:-1]) | (doc[1:] != doc[:-1])))) if len(i) else np.zeros(0, int)
+        for f, t in zip(fresh.tolist(), [*fresh[1:].tolist(), len(i)]):
+            yield int(i[f]), int(doc[f]), int(place[f]), int(place[t - 1])
 
 
 def _stretch(mask: dict[int, int], text: list[int], need: int, window: int) -> list[tuple[int, int]]:
@@ -279,8 +317,9 @@ def find_leaks(
     builds over each an FM-index (suffix order by prefix doubling, a wavelet tree over the last column, every 8th
     suffix position). All phrases of ``run`` words are searched backwards, in step, and located. For the second
     kind, so many of a passage's rarest words are located that some must be there if three quarters are; only the
-    documents in which enough stand close together are compared exactly. Passages reach the workers in blocks of
-    BLOCK_ITEMS, each one pass, so what is broadcast is bounded whatever the number of passages.
+    documents in which enough stand close together are compared exactly. All passages of a block are searched together.
+    Passages reach the workers in blocks of BLOCK_ITEMS and BLOCK_CHARS, each one pass, so what is broadcast is bounded
+    whatever the number of passages.
     """
     spark = docs.sparkSession
     source = spread(docs.select(key, text).toDF("_key", "_text").where("_text is not null"))
@@ -311,9 +350,10 @@ def find_leaks(
 
         return source.mapInArrow(work, schema)
 
-    out, block = spark.createDataFrame([], schema), []
+    out, block, chars = spark.createDataFrame([], schema), [], 0
     for row in named.toLocalIterator():
         block.append((row[0], row[1]))
-        if len(block) == BLOCK_ITEMS:
-            out, block = out.unionByName(scan(block)), []
+        chars += len(row[1])
+        if len(block) == BLOCK_ITEMS or chars >= BLOCK_CHARS:
+            out, block, chars = out.unionByName(scan(block)), [], 0
     return out.unionByName(scan(block)) if block else out

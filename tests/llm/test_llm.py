@@ -291,7 +291,7 @@ def brute_leaks(docs, items):
         for i, w in enumerate(p.words):
             need, window = math.ceil(0.75 * len(w)), math.floor(1.5 * len(w))
             runs = {tuple(w[k : k + 15]) for k in range(len(w) - 14)}
-            if any(tuple(n[a : a + 15]) in runs for a in range(len(n))) or any(leaks.longest_common(p.masks[i], n[a : a + window]) >= need for a in range(len(n))):
+            if any(tuple(n[a : a + 15]) in runs for a in range(len(n))) or any(leaks.longest_common(p.mask(i), n[a : a + window]) >= need for a in range(len(n))):
                 out.add((d, p.items[i]))
     return out
 
@@ -320,6 +320,22 @@ def test_leaks_equal_brute_force(spark, monkeypatch):
     assert leaks.find_leaks(d.limit(0), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("places", [1, 50, 10**6])
+def test_leaks_in_parts_of_places(spark, monkeypatch, places):
+    rng = random.Random(6)
+    items = [(i, " ".join(rng.choice("abcdefghijklmnop") * 2 for _ in range(rng.randint(3, 20)))) for i in range(30)]
+    docs = [(d, " ".join(items[rng.randrange(30)][1].split()[rng.randint(0, 3) :] + ["zz"] * rng.randint(0, 9) + ["aa", "bb"])) for d in range(60)]
+    monkeypatch.setattr(leaks, "PLACES", places)
+    got = leaks.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == brute_leaks(docs, items)
+
+
+def test_each_tag_decides_for_itself():
+    assert leaks.words_of("<li>one two</li><li>three</li>") == ["one", "two", "three"]
+    assert leaks.words_of("<p>x</p> un<b>believ</b>able<br/>so") == ["x", "unbelievable", "so"]
+    assert leaks.words_of(f'<a href="{"y" * 250}" title="z">link</a>ed, 1 < 2 > 0, <!-- not\nthis -->that') == ["linked", "1", "2", "0", "that"]
+
+
 def test_merged_spans():
     assert leaks.merged([(5, 9), (0, 3), (8, 12), (3, 4)]) == [(0, 4), (5, 12)]
 
