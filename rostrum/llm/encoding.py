@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 from rostrum.plans.session import spread
 
-#: A search looks at no more than so many states of one token; a token has few states that lower its cost.
-STATES = 60
 #: A token counts as garbled if some reachable text is cheaper by this much (less where UTF-8 itself bears witness).
 MARGIN, UTF8_MARGIN = 2.0, 0.5
 
@@ -46,6 +44,11 @@ _FREQUENT = set("дпуяыьгзбчйх" + "αοιετσνηυρπκμλςωγ
 _RARE_CYRILLIC = set("ЃѓЉљЊњЌќЋћЏџЂђЎўЈјҐґЄєЇїІіЅѕ")
 
 
+def _is_common(ch: str) -> bool:
+    """Whether a Chinese character is on the first level of one of the national standards, by its lead byte there."""
+    return any((b := ch.encode(codec, "ignore")) and low <= b[0] <= high for codec, low, high in (("gb2312", 0xB0, 0xD7), ("big5", 0xA4, 0xC6), ("shift_jis", 0x88, 0x97)))
+
+
 @lru_cache(maxsize=70_000)
 def _kind(ch: str) -> tuple[str, float]:
     """Script (or ``sign``) of a character, and its own cost."""
@@ -70,7 +73,7 @@ def _kind(ch: str) -> tuple[str, float]:
         if script == "ARABIC":
             return "arabic", 0.7 if ch in _FREQUENT else 0.9 if code < 0x660 else 2.5
         if script in ("CJK", "HIRAGANA", "KATAKANA", "KATAKANA-HIRAGANA", "IDEOGRAPHIC", "HANGUL"):
-            return "east", (2.5 if "HALFWIDTH" in unicodedata.name(ch, "") else 1.0) if code < 0xF900 or code > 0xFB00 else 3.0
+            return "east", (2.5 if "HALFWIDTH" in unicodedata.name(ch, "") else 1.0 if script != "CJK" else 1.6 if _is_common(ch) else 3.0) if code < 0xF900 or code > 0xFB00 else 3.0
         if script in ("DEVANAGARI", "THAI"):
             return script.lower(), 0.7
         return "other", 3.0
@@ -149,8 +152,8 @@ def _character(m: re.Match) -> str:
     return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "�"
 
 
-def _neighbours(text: str) -> Iterator[tuple[str, str]]:
-    """Texts one operation away, each with the operation's name."""
+def _neighbours(text: str, pages: bool) -> Iterator[tuple[str, str]]:
+    """Texts one operation away, each with the operation's name; ``pages``: also those by reading one page as another."""
     if _CODE_POINT.search(text):
         yield "unescape", _CODE_POINT.sub(_character, text)
     if _ENTITY.search(text) and (plain := html.unescape(text)) != text:
@@ -164,7 +167,7 @@ def _neighbours(text: str) -> Iterator[tuple[str, str]]:
     if any(0x80 <= ord(c) < 0xA0 for c in text):
         yield "latin-1>cp1252", "".join(bytes([ord(c)]).decode("cp1252", "replace") if 0x80 <= ord(c) < 0xA0 else c for c in text)
     letters = sum(map(str.isalpha, text))
-    if sum(c.isalpha() and not c.isascii() for c in text) < 2:
+    if not pages or sum(c.isalpha() and not c.isascii() for c in text) < 2:
         return
     pairs = [(w, c) for w in WESTERN for c in ORIGINALS] + list(CROSSED)
     encoded = {w: _to_bytes(text, w) for w in {w for w, _ in pairs}}
@@ -180,71 +183,81 @@ def _neighbours(text: str) -> Iterator[tuple[str, str]]:
 
 
 @lru_cache(maxsize=200_000)
-def repair_token(token: str) -> tuple[str, bool, str]:
-    """The cheapest text reachable from a token, whether the token was garbled, and the first operation.
+def repair_token(token: str) -> tuple[str, bool, str, bool]:
+    """The cheapest text reachable from a token, whether the token was garbled, the first operation, and whether the search
+    says so (else only a character that no right text holds does).
 
     The frontier is ordered by cost, so the search goes on from the most plausible text found so far; a state that
-    was reached before, by whatever path, is not taken up again.
+    was reached before, by whatever path, is not taken up again. It ends when no state is left: reading UTF-8 and undoing
+    escapes shorten a text, and may follow one another any number of times; one page is read as another once on a path,
+    as two such readings are another mapping of single characters.
     """
     start = cost(token)
-    if start < UTF8_MARGIN and not _EVIDENCE.search(token):
-        return token, False, ""
-    seen, frontier, best, looked = {token}, [(start, 0, token, False, "")], (start, token, False, ""), 0
-    while frontier and looked < STATES:
-        at, depth, text, utf8, first = heapq.heappop(frontier)
-        looked += 1
+    evidence = bool(_EVIDENCE.search(token))
+    if start < UTF8_MARGIN and not evidence:
+        return token, False, "", False
+    seen, frontier, best = {(token, True)}, [(start, 0, token, True, False, "")], (start, token, False, "")
+    while frontier:
+        at, depth, text, pages, utf8, first = heapq.heappop(frontier)
         if at < best[0]:
             best = (at, text, utf8, first)
-        if depth == 3 or at > start + 1:
-            continue
-        for op, new in _neighbours(text):
-            if utf8 and not op.endswith("utf-8") and op != "unescape":
-                continue  # what UTF-8 has read needs no other reading
-            if new not in seen:
-                seen.add(new)
-                heapq.heappush(frontier, (cost(new) + 0.05 * (depth + 1), depth + 1, new, utf8 or op.endswith("utf-8"), first or op))
+        # What UTF-8 has read needs no other page.
+        for op, new in _neighbours(text, pages and not utf8):
+            shorter = op.endswith("utf-8") or op in ("unescape", "latin-1>cp1252")
+            state = new, pages and shorter
+            if state not in seen:
+                seen.add(state)
+                heapq.heappush(frontier, (cost(new) + 0.05 * (depth + 1), depth + 1, *state, utf8 or op.endswith("utf-8"), first or op))
     gain = start - best[0]
-    garbled = gain >= (UTF8_MARGIN if best[2] else MARGIN) or bool(_EVIDENCE.search(token))
-    return (best[1] if gain > 0 and garbled else token), garbled, best[3] if garbled else ""
+    searched = gain >= (UTF8_MARGIN if best[2] else MARGIN)
+    garbled = searched or evidence
+    return (best[1] if gain > 0 and garbled else token), garbled, best[3] if garbled else "", searched
 
 
 def repair(text: str) -> tuple[str, bool]:
     """A text with its garbled tokens restored where that is possible, and whether it had any."""
+    return examine(text)[:2]
+
+
+def examine(text: str) -> tuple[str, bool, bool]:
+    """As ``repair``, and whether the search found a garbled token, not only a character that no right text holds."""
     if text.isascii() and not _EVIDENCE.search(text) and not _CODE_POINT.search(text):
-        return text, False
+        return text, False, False
     tokens = {t for t in _SPACES.split(text) if t and (not t.isascii() or "<U+" in t or "\\" in t or "&#" in t)}
     fixed = {t: repair_token(t) for t in tokens}
-    signs = [first for _, garbled, first in fixed.values() if garbled]
+    signs = [first for _, garbled, first, _ in fixed.values() if garbled]
     if not signs:
-        return text, False
+        return text, False, False
+    searched = any(by for _, _, _, by in fixed.values())
     crossed = {">".join(p): p for p in CROSSED}
     if all(first in crossed for first in signs):  # capitals or rare names may look better the other way round: the whole text decides
         western, codec = crossed[max(set(signs), key=lambda f: (signs.count(f), f))]
         data = _to_bytes(text, western)
         if data is None or cost(data.decode(codec, "replace")) > cost(text) - MARGIN:
-            return text, False
+            return text, False, False
     # One text was misread in one way: the way of most letters also reads the words too short to tell.
     ways: dict[tuple[str, str], int] = {}
-    for t, (_, garbled, first) in fixed.items():
+    for t, (_, garbled, first, _) in fixed.items():
         if garbled and ">" in first and not first.endswith("utf-8") and first != "latin-1>cp1252":
             way = tuple(first.split(">"))
             ways[way] = ways.get(way, 0) + len(t)
     if ways:
         western, codec = max(ways, key=lambda w: (ways[w], w))
-        for t, (_, garbled, first) in fixed.items():
+        for t, (_, garbled, first, _) in fixed.items():
             if not first.endswith("utf-8") and (data := _to_bytes(t, western)) is not None:
                 try:
-                    fixed[t] = (data.decode(codec), True, first)
+                    fixed[t] = (data.decode(codec), True, first, True)
                 except UnicodeDecodeError:
                     continue
-    return "".join(fixed[p][0] if p in fixed else p for p in re.split(r"([ \t\n\r]+)", text)), True
+    return "".join(fixed[p][0] if p in fixed else p for p in re.split(r"([ \t\n\r]+)", text)), True, searched
 
 
 def find_garbled(rows: DataFrame, key: str = "row_id", text: str = "text") -> DataFrame:
-    """The rows whose text holds garbled characters: ``key, restored, is_whole``.
+    """The rows whose text holds garbled characters: ``key, restored, is_whole, by_search``.
 
     ``restored`` is the cheapest text found; ``is_whole`` says that no character of wrong decoding is left in it (it
-    is false where the original is lost). Null and empty texts are never garbled. Repeated rows are found each for
+    is false where the original is lost). ``by_search`` says that the search found a garbled token; where it is false the row
+    is given only for a character of EVIDENCE, of which the original is lost. Null and empty texts are never garbled. Repeated rows are found each for
     themselves. Other columns are dropped.
 
     Plan: a filter in the JVM keeps texts with a character outside ASCII or a written code point; only these go to
@@ -257,17 +270,18 @@ def find_garbled(rows: DataFrame, key: str = "row_id", text: str = "text") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, restored, whole = [], [], []
-            for i, t in enumerate(batch.column(1)):
-                fixed, garbled = repair(t.as_py())
+            keep, restored, whole, by_search = [], [], [], []
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                fixed, garbled, searched = examine(t)
                 if garbled:
+                    by_search.append(searched)
                     keep.append(i)
                     restored.append(fixed)
                     whole.append(not _EVIDENCE.search(fixed))
             keys = batch.column(0).take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([keys, pa.array(restored, pa.string()), pa.array(whole, pa.bool_())], names=[key, "restored", "is_whole"])
+            yield pa.RecordBatch.from_arrays([keys, pa.array(restored, pa.string()), pa.array(whole, pa.bool_()), pa.array(by_search, pa.bool_())], names=[key, "restored", "is_whole", "by_search"])
 
-    return source.mapInArrow(run, f"`{key}` {kind}, restored string, is_whole boolean")
+    return source.mapInArrow(run, f"`{key}` {kind}, restored string, is_whole boolean, by_search boolean")
 
 
 def suspicious(text: Column) -> Column:

@@ -37,7 +37,7 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _texts(spark, sf_dir).select(F.struct("src_table", "row_id").alias("key"), "text")
     found = encoding.find_garbled(rows, "key")
-    return found.select("key.src_table", "key.row_id", "restored", "is_whole")
+    return found.select("key.src_table", "key.row_id", "restored", "is_whole", "by_search")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

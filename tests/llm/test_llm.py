@@ -130,7 +130,15 @@ def test_twice_misread_and_old_encodings():
     t = "La façade, déjà vue"
     assert encoding.repair(t.encode().decode("cp1252").encode().decode("cp1252")) == (t, True)
     assert encoding.repair("Народ устал, однако надежда жива".encode("cp1251").decode("latin-1")) == ("Народ устал, однако надежда жива", True)
+    greek = "Ο λαός κουράστηκε, αλλά η ελπίδα ζει ακόμα"
+    assert encoding.repair(greek.encode("iso8859-7").decode("latin-1")) == (greek, True)
     assert encoding.repair("Народ устал, однако надежда".encode("koi8-r").decode("cp1251")) == ("Народ устал, однако надежда", True)
+    for n in (3, 4, 5):
+        bad = t
+        for _ in range(n):
+            bad = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in bad.encode())
+        assert encoding.repair(bad) == (t, True)
+    assert encoding.examine(bad)[2] and encoding.examine("it�s") == ("it�s", True, False)
     assert encoding.repair("it<U+0092>s") == ("it’s", True)
     assert encoding.repair("it\x92s") == ("it’s", True)
     assert encoding.repair("it�s")[1]
