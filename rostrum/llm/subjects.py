@@ -9,12 +9,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CLASS = "="  # marks a class among the items of a transaction; no word has it
-
 
 @dataclass(frozen=True)
 class Settings:
@@ -30,6 +27,7 @@ class Settings:
     share: float = 0.2
     most: int = 3
     fallback: str = "ceremony"
+    held_out: int = 5  # one of so many labelled documents is left out of the counts that are calibrated
 
 
 def words(text: Column) -> Column:
@@ -39,20 +37,21 @@ def words(text: Column) -> Column:
 
 @dataclass
 class Rules:
-    """Antecedent words -> (subject, evidence); evidence is the log of the odds over the prior odds, calibrated."""
+    """Word -> the rules it is part of, the surest first: (other words, subject, evidence); evidence is the log of the odds
+    over the prior odds, calibrated."""
 
-    by_word: dict[str, list[tuple[str | None, str, float]]]
+    by_word: dict[str, list[tuple[frozenset[str], str, float]]]
     scale: float
     offset: float
 
     def scores(self, found: set[str]) -> dict[str, float]:
         """For each subject with a matching rule the summed evidence that a text of these words deals with it."""
         score: dict[str, float] = defaultdict(float)
-        for w in found:  # each word speaks through the surest rule that it is part of, once
-            matching = [(evidence, subject) for other, subject, evidence in self.by_word.get(w, ()) if other is None or other in found]
-            if matching:
-                evidence, subject = max(matching)
-                score[subject] += evidence
+        for w in sorted(found & self.by_word.keys()):  # each word speaks through the surest rule that it is part of, once
+            for others, subject, evidence in self.by_word[w]:
+                if others <= found:
+                    score[subject] += evidence
+                    break
         return score
 
     def best(self, found: set[str]) -> str | None:
@@ -69,61 +68,147 @@ def clean_labels(labels: DataFrame, areas: DataFrame) -> DataFrame:
     return named.join(F.broadcast(known), "subject", "left_semi")
 
 
+@dataclass
+class Count:
+    """Paragraphs with all words of an antecedent (``n``) and those of the class too (``k``); in ``held`` both among those
+    left out."""
+
+    n: int = 0
+    k: int = 0
+    held: tuple[int, int] = (0, 0)
+
+    def evidence(self, prior: float, all_: bool = True) -> float:
+        n, k = (self.n, self.k) if all_ else (self.n - self.held[0], self.k - self.held[1])
+        return math.log((k + 0.5) / (n - k + 0.5)) - math.log(prior / (1 - prior) if prior < 1 else 1.0)
+
+
+def grow(rows: list[tuple[tuple[int, ...], tuple[int, ...], bool, int]], suffix: tuple[int, ...], least: int, sure: float) -> Iterator[tuple[tuple[int, ...], int, Count]]:
+    """The frequent antecedents that end in ``suffix``, with their classes and counts.
+
+    ``rows`` are the conditional transactions (words before the suffix in the order of frequency, classes, held out or
+    not, how many). A set is grown further only while a class of it is frequent and not yet ``sure``, as longer
+    antecedents could not be surer by more than the required improvement. Their length has no bound.
+    """
+    found: dict[int, list] = defaultdict(lambda: [0, 0, defaultdict(lambda: [0, 0])])
+    for words_, classes, held, times in rows:
+        for x in words_:
+            cell = found[x]
+            cell[0] += times
+            cell[1] += times * held
+            for c in classes:
+                cell[2][c][0] += times
+                cell[2][c][1] += times * held
+    for x, (n, h, by) in sorted(found.items()):
+        frequent = {c: k for c, k in by.items() if k[0] >= least}
+        for c, (k, kh) in frequent.items():
+            yield (x, *suffix), c, Count(n, k, (h, kh))
+        if any(k < sure * n for k, _ in frequent.values()):
+            yield from grow([(w[: w.index(x)], cs, held, t) for w, cs, held, t in rows if x in w and w[0] != x], (x, *suffix), least, sure)
+
+
 def mine(parts: DataFrame, labels: DataFrame, areas: DataFrame, s: Settings = Settings()) -> Rules:
     """Fit the rules on labelled parts of documents (``speech_id, items``).
 
     A transaction is the words of one paragraph and the subjects of its speech; the description of each subject is
     one more. Words that tell no subject apart (no class holds ``telling`` of their paragraphs) are left out before
-    growing. Of the frequent sets those with one class are rules; a rule of two words stays only if it is surer
-    than the rules of either word. What reaches the driver is bounded by ``max_labelled`` and ``min_support``.
+    growing, but for those of one description only. Parallel FP-growth: each transaction sends every word of it what
+    stands before that word in the order of frequency, and the sets that end in a word are grown where its
+    transactions meet. A rule stays only if it is surer, by ``improvement``, than all rules of fewer of its words.
+    One of ``held_out`` speeches is left out of the counts with which the evidence is calibrated on them. What reaches
+    the driver is bounded by ``max_labelled`` and ``min_support``.
     """
+    spark = parts.sparkSession
     chosen = labels.select("speech_id").distinct().orderBy(F.xxhash64("speech_id"), "speech_id").limit(s.max_labelled)
     tagged = labels.join(chosen, "speech_id", "left_semi").groupBy("speech_id").agg(F.sort_array(F.collect_set("subject")).alias("subjects"))
-    rows = parts.join(tagged, "speech_id").select("speech_id", "items", "subjects")
+    held = F.pmod(F.xxhash64("speech_id", F.lit(1)), F.lit(s.held_out)) == 0
+    rows = parts.join(F.broadcast(tagged), "speech_id").select("items", "subjects", held.alias("held"), F.lit(False).alias("described"))
     described = areas.where("subject is not null").select(
-        F.lit(None).cast("long").alias("speech_id"), words(F.concat_ws(" ", "subject", "description")).alias("items"), F.array(F.lower(F.trim("subject"))).alias("subjects")
+        words(F.concat_ws(" ", "subject", "description")).alias("items"), F.array(F.lower(F.trim("subject"))).alias("subjects"), F.lit(False).alias("held"), F.lit(True).alias("described")
     )
     rows = rows.unionByName(described).where("size(items) > 0").persist()
     try:
-        n = rows.count()
-        prior = {r["c"]: r["n"] / n for r in rows.select(F.explode("subjects").alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()} if n else {}
-        if not prior:
+        marked = F.concat(F.array(F.lit("")), "subjects")
+        totals = {r["c"]: r["n"] for r in rows.select(F.explode(marked).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
+        if len(totals) < 2:
             return Rules({}, 1.0, 0.0)
-        least = max(s.min_count, math.ceil(s.min_support * n))
-        single = rows.select(F.explode("items").alias("w"), "subjects")
-        by = single.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-        with_class = single.select("w", F.explode("subjects").alias("c")).groupBy("w", "c").agg(F.count(F.lit(1)).alias("k"))
-        telling = with_class.join(by, "w").where((F.col("n") >= least) & (F.col("k") >= s.telling * F.col("n"))).select("w").distinct()
-        kept = [r["w"] for r in telling.collect()]  # each stands in min_support of the bounded sample: few
-        shared = rows.sparkSession.sparkContext.broadcast(set(kept))
-
-        def transactions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n_rows = totals.pop("")
+        prior = {c: k / n_rows for c, k in totals.items()}
+        least = max(s.min_count, math.ceil(s.min_support * n_rows))
+        cells = rows.select("held", "described", "subjects", F.explode("items").alias("w")).select("held", "described", "w", F.explode(marked).alias("c"))
+        cells = cells.groupBy("w", "c").agg(F.count(F.lit(1)).alias("n"), F.count_if("held").alias("h"), F.count_if("described").alias("d"))
+        whole = F.col("c") == ""
+        by = cells.groupBy("w").agg(
+            F.max(F.when(whole, F.col("n"))).alias("n"), F.max(F.when(whole, F.col("h"))).alias("h"), F.max(F.when(whole, F.col("d"))).alias("d"),
+            F.max(F.when(~whole, F.col("n"))).alias("k"), F.collect_list(F.when(~whole, F.struct("c", "n", "h", "d"))).alias("by"),
+        )
+        telling = (F.col("n") >= least) & (F.col("k") >= s.telling * F.col("n"))
+        own = (F.col("d") == 1) & (F.length("w") > 3)  # stands in one description
+        kept = sorted(by.where(telling | own).collect(), key=lambda r: (-r["n"], r["w"]))  # few: of min_support in a bounded sample, or of a description
+        classes = sorted(prior)
+        number = {c: i for i, c in enumerate(classes)}
+        counts: dict[tuple[int, ...], dict[int, Count]] = {}
+        frequent, near = {}, []
+        for i, r in enumerate(kept):
+            of_words = {number[c["c"]]: Count(r["n"], c["n"], (r["h"], c["h"])) for c in r["by"] if c["n"] >= least or (c["d"] and r["n"] < least)}
+            if of_words:
+                counts[(i,)] = of_words
+            near.append(any(k.k < (1 - s.improvement) * k.n for k in of_words.values()))
+            if r["n"] >= least:
+                frequent[r["w"]] = i
+        shared = spark.sparkContext.broadcast((frequent, number, near))
+
+        def conditional(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known, number_of, grows = shared.value
             for b in batches:
-                items = [[w for w in ws.as_py() if w in shared.value] + [CLASS + c for c in cs.as_py()] for ws, cs in zip(b.column(1), b.column(2))]
-                yield pa.RecordBatch.from_arrays([pa.array(items, pa.list_(pa.string()))], names=["items"])
-
-        basket = rows.mapInArrow(transactions, "items array<string>")
-        grown = FPGrowth(itemsCol="items", minSupport=min(1.0, least / n), minConfidence=s.min_confidence, numPartitions=rows.sparkSession.sparkContext.defaultParallelism).fit(basket)
-        rule_rows = grown.associationRules.where((F.size("antecedent") <= 2) & F.col("consequent")[0].startswith(CLASS) & ~F.exists("antecedent", lambda x: x.startswith(CLASS)))
-        rules = [(tuple(sorted(r["antecedent"])), r["consequent"][0][1:], r["confidence"], r["support"] * n) for r in rule_rows.collect()]
-        # A word that is rare in the sample is no frequent set, but its single rule may stand on min_count parts.
-        sure = {(a, c): p for a, c, p, _ in rules}
-        by_word: dict[str, list[tuple[str | None, str, float]]] = defaultdict(list)
-        for a, c, p, k in sorted(rules):
-            if len(a) == 2 and p <= max(sure.get((a[:1], c), 0.0), sure.get((a[1:], c), 0.0)) + s.improvement:
-                continue
-            total = k / p
-            evidence = math.log((k + 0.5) / (total - k + 0.5)) - math.log(prior[c] / (1 - prior[c]) if prior[c] < 1 else 1.0)
-            if evidence > 0:
-                for w in a:
-                    by_word[w].append((next((x for x in a if x != w), None), c, evidence))
-        raw = Rules(dict(by_word), 1.0, 0.0)
-        scale, offset = _calibrate(rows, raw)
-        return Rules(dict(by_word), scale, offset)
+                out: tuple[list, ...] = ([], [], [], [])
+                for ws, cs, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                    items = sorted(known[w] for w in ws if w in known)
+                    cs = [number_of[c] for c in cs]
+                    for j in range(1, len(items)):
+                        if grows[items[j]]:
+                            for column, value in zip(out, (items[j], items[:j], cs, h)):
+                                column.append(value)
+                kinds = (pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["item", "before", "classes", "held"])
+
+        def grown(group: pa.Table) -> pa.Table:
+            last = group.column("item")[0].as_py()
+            times: dict[tuple, int] = defaultdict(int)
+            for ws, cs, h in zip(group.column("before").to_pylist(), group.column("classes").to_pylist(), group.column("held").to_pylist()):
+                times[tuple(ws), tuple(cs), h] += 1
+            got = list(grow([(*k, t) for k, t in times.items()], (last,), least, 1 - s.improvement))
+            return pa.table({"a": pa.array([a for a, _, _ in got], pa.list_(pa.int32())), **{n: pa.array(v, pa.int64()) for n, v in (("c", [c for _, c, _ in got]), ("n", [x.n for *_, x in got]), ("k", [x.k for *_, x in got]), ("nh", [x.held[0] for *_, x in got]), ("kh", [x.held[1] for *_, x in got]))}})
+
+        sent = rows.select("items", "subjects", "held").mapInArrow(conditional, "item int, before array<int>, classes array<int>, held boolean")
+        for r in sent.groupBy("item").applyInArrow(grown, "a array<int>, c long, n long, k long, nh long, kh long").where(F.col("k") >= s.min_confidence * F.col("n")).collect():
+            counts.setdefault(tuple(r["a"]), {})[r["c"]] = Count(r["n"], r["k"], (r["nh"], r["kh"]))
+        rules = {(a, c): x for a, of in counts.items() for c, x in of.items() if x.k >= s.min_confidence * x.n and not _redundant(a, c, x, counts, s.improvement)}
+
+        def made(all_: bool) -> dict[str, list[tuple[frozenset[str], str, float]]]:
+            by_word: dict[str, list[tuple[frozenset[str], str, float]]] = defaultdict(list)
+            for (a, c), x in rules.items():
+                if (evidence := x.evidence(prior[classes[c]], all_)) > 0:
+                    names = [kept[i]["w"] for i in a]
+                    for w in names:
+                        by_word[w].append((frozenset(names) - {w}, classes[c], evidence))
+            return {w: sorted(of, key=lambda r: (-r[2], r[1], sorted(r[0]))) for w, of in by_word.items()}
+
+        scale, offset = _calibrate(rows.where("held").select("items", "subjects"), Rules(made(False), 1.0, 0.0))
+        return Rules(made(True), scale, offset)
     finally:
         rows.unpersist()
 
 
+def _redundant(a: tuple[int, ...], c: int, x: Count, counts: dict[tuple[int, ...], dict[int, Count]], improvement: float) -> bool:
+    """Whether a rule of fewer of the words is as sure, but for ``improvement``."""
+    for i in range(len(a)) if len(a) > 1 else ():
+        shorter = a[:i] + a[i + 1 :]
+        less = counts.get(shorter, {}).get(c)
+        if less is not None and x.k / x.n <= less.k / less.n + improvement or _redundant(shorter, c, x, counts, improvement):
+            return True
+    return False
+
+
 def _calibrate(rows: DataFrame, rules: Rules) -> tuple[float, float]:
     """Platt's fit: how the summed evidence of a subject turns into the share of texts that have the subject.
 
@@ -134,9 +219,9 @@ def _calibrate(rows: DataFrame, rules: Rules) -> tuple[float, float]:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got: dict[int, list[int]] = defaultdict(lambda: [0, 0])
-            for ws, cs in zip(b.column(1), b.column(2)):
-                have = set(cs.as_py())
-                for c, score in shared.value.scores(set(ws.as_py())).items():
+            for ws, cs in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                have = set(cs)
+                for c, score in shared.value.scores(set(ws)).items():
                     cell = got[round(min(20.0, score) * 10)]
                     cell[0] += 1
                     cell[1] += c in have
@@ -172,34 +257,48 @@ def subject_areas(speeches: DataFrame, labels: DataFrame, areas: DataFrame, s: S
     labels are passed over. An empty table gives no rows; without labels only the descriptions make rules. Other
     columns are ignored.
 
-    Plan: one shuffle for repeated rows, one partial aggregation by (speech, subject); the rules (bounded by support)
-    are broadcast to a map over the paragraphs.
+    Plan: one shuffle for repeated rows; the rules (bounded by support) are broadcast to a map over the paragraphs, which
+    is made once; two partial aggregations bring the counts of a speech's subjects, at most as many as there are
+    subjects, into one row, from which the speech is decided. Mining reads the labelled speeches only; it runs when this
+    is called.
     """
     spark = speeches.sparkSession
     base = speeches.where("speech_id is not null").select("speech_id", "paragraph", "row_id", "text", "speech_title")
-    once = base.groupBy("speech_id", "paragraph").agg(F.min_by("text", F.coalesce("row_id", F.lit(1 << 62))).alias("text"))
-    parts = once.select("speech_id", words(F.col("text")).alias("items"))
-    rules = mine(parts, clean_labels(labels, areas), areas, s)
-    shared = spark.sparkContext.broadcast(rules)
+
+    def parts(of: DataFrame) -> DataFrame:
+        once = of.groupBy("speech_id", "paragraph").agg(F.min_by("text", F.coalesce("row_id", F.lit(1 << 62))).alias("text"), F.max("speech_title").alias("title"))
+        return once.select("speech_id", words(F.col("text")).alias("items"), "title")
+
+    known = clean_labels(labels, areas)
+    fitted = known.select("speech_id").distinct().orderBy(F.xxhash64("speech_id"), "speech_id").limit(s.max_labelled)
+    shared = spark.sparkContext.broadcast(mine(parts(base.join(F.broadcast(fitted), "speech_id", "left_semi")), known, areas, s))
     kind = dict(base.dtypes)["speech_id"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            best = [shared.value.best(set(ws.as_py())) for ws in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(best, pa.string())], names=["speech_id", "subject"])
-
-    schema = f"speech_id {kind}, subject string"
-    counts = parts.mapInArrow(score, schema).where("subject is not null").groupBy("speech_id", "subject").agg(F.count(F.lit(1)).alias("k"))
-    titles = base.groupBy("speech_id").agg(F.max("speech_title").alias("title"))
-    titled = titles.select("speech_id", words(F.col("title")).alias("items")).mapInArrow(score, schema)
-    every = Window.partitionBy("speech_id")  # over at most one row a subject
-    shares = counts.withColumn("m", F.sum("k").over(every))
-    shares = shares.withColumn("enough", (F.col("k") >= s.share * F.col("m")) & ((F.col("k") > 1) | (2 * F.col("k") >= F.col("m"))))
-    shares = shares.withColumn("others", F.max((F.col("enough") & (F.col("subject") != s.fallback)).cast("int")).over(every))
-    shares = shares.withColumn("rank", F.row_number().over(every.orderBy(F.desc(F.col("enough") & (F.col("subject") != s.fallback)), F.desc("k"), "subject")))
-    given = shares.where(
-        (F.col("enough") & (F.col("subject") != s.fallback) & (F.col("rank") <= s.most)) | ((F.col("others") == 0) & (F.col("rank") == 1))
-    ).select("speech_id", "subject", F.col("k").alias("n_paragraphs"), (F.col("k") / F.col("m")).alias("share"))
-    bare = titled.join(counts.select("speech_id").distinct(), "speech_id", "left_anti")
-    bare = bare.select("speech_id", F.coalesce("subject", F.lit(s.fallback)).alias("subject"), F.lit(0).cast("long").alias("n_paragraphs"), F.lit(0.0).alias("share"))
-    return given.unionByName(bare)
+            best = [shared.value.best(set(ws)) for ws in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(best, pa.string())], names=["speech_id", "title", "subject"])
+
+    scored = parts(base).mapInArrow(score, f"speech_id {kind}, title string, subject string")
+    counts = scored.groupBy("speech_id", "subject").agg(F.count(F.lit(1)).alias("k"), F.max("title").alias("title"))
+    speech = counts.groupBy("speech_id").agg(F.collect_list(F.when(F.col("subject").isNotNull(), F.struct("subject", "k"))).alias("found"), words(F.max("title")).alias("items"))
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            take, rows = [], []
+            for i, (found, items) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+                got = given([(x["subject"], x["k"]) for x in found], s) or [(shared.value.best(set(items)) or s.fallback, 0, 0.0)]
+                take += [i] * len(got)
+                rows += got
+            arrays = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take, pa.int64())), *arrays], names=["speech_id", "subject", "n_paragraphs", "share"])
+
+    return speech.mapInArrow(decide, f"speech_id {kind}, subject string, n_paragraphs long, share double")
+
+
+def given(counts: list[tuple[str, int]], s: Settings = Settings()) -> list[tuple[str, int, float]]:
+    """The subjects of a speech from how many paragraphs each has: (subject, paragraphs, share)."""
+    m = sum(k for _, k in counts)
+    ordered = sorted(counts, key=lambda x: (-x[1], x[0]))
+    enough = [(c, k) for c, k in ordered if c != s.fallback and k >= s.share * m and (k > 1 or 2 * k >= m)]
+    return [(c, k, k / m) for c, k in enough[: s.most] or ordered[:1]]
