@@ -6,17 +6,15 @@ places on both sides, as sums of doubles depend on their order.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rostrum.functions import text as T
 from rostrum.operators import embed, frequency, rows, stats, topics, words
-from rostrum.operators.lexicon import DETERMINERS, GENDER, MODALS, PRONOUNS, STOP_WORDS, URGENCY
-from rostrum.plans.session import shared_dir, table
+from rostrum.operators.lexicon import DETERMINERS, GENDER, MODALS, PRONOUNS, STOP_WORDS, URGENCY, stop_words
+from rostrum.plans.session import shared_path, table
 from rostrum.sources import readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -132,8 +130,8 @@ def a13(spark, d):
 @query("a14_distinct_pairs", "SELECT (SELECT count(*) FROM (SELECT DISTINCT word, pos FROM presidents_words)) AS word_pos, (SELECT count(*) FROM (SELECT DISTINCT lemma, pos FROM presidents_words)) AS lemma_pos")
 def a14(spark, d):
     w = table(spark, d, "presidents_words")
-    pairs = [w.select("word", "pos").distinct().agg(F.count(F.lit(1)).alias("word_pos")), w.select("lemma", "pos").distinct().agg(F.count(F.lit(1)).alias("lemma_pos"))]
-    return pairs[0].join(pairs[1], how="cross")  # one row each
+    pairs = w.select("lemma", "pos").distinct().agg(F.count(F.lit(1)).alias("lemma_pos"))
+    return w.select("word", "pos").distinct().agg(F.count(F.lit(1)).alias("word_pos")).withColumn("lemma_pos", pairs.scalar())
 
 
 _JOINED = (
@@ -189,7 +187,8 @@ def _reactions_sql(mode: str) -> str:
     if mode == "reference":
         count = lambda kind: f"CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x IN {_in(stats._MARKERS[kind])})) AS BIGINT)"
     else:
-        count = lambda kind: f"CAST(len(regexp_extract_all(text, '(?i)\\((?:[^()]* )?{kind}\\b[^()]*\\)')) AS BIGINT)"
+        count = lambda kind: f"CAST(sum(len(regexp_extract_all(text, '(?i)\\((?:[^()]* )?{kind}\\b[^()]*\\)'))) AS BIGINT)"
+        return f"SELECT president, speech_title, {count('applause')} AS applause, {count('laughter')} AS laughter FROM speeches WHERE president IS NOT NULL AND text IS NOT NULL AND NOT contains(speech_title, 'Debate') GROUP BY 1, 2"
     return "WITH " + _JOINED.format(t="text", s=sep, debate="AND text IS NOT NULL AND NOT contains(speech_title, 'Debate')") + f" SELECT president, speech_title, {count('applause')} AS applause, {count('laughter')} AS laughter FROM joined"
 
 
@@ -220,15 +219,15 @@ def a24(spark, d):
 
 
 def _topic_weights(spark: SparkSession, d: str) -> DataFrame:
-    """Embeddings as a document-topic table: the first ten coordinates, negative ones as 0; the label is the president's number."""
-    e = table(spark, d, "embeddings").select((F.col("label") + 1).alias("president_num"), "vec_id", F.posexplode(F.slice("embedding", 1, 10)).alias("topic_idx", "weight"))
+    """Embeddings as a document-topic table: all coordinates without their signs; the label is the president's number."""
+    e = table(spark, d, "embeddings").select((F.col("label") + 1).alias("president_num"), "vec_id", F.posexplode("embedding").alias("topic_idx", "weight"))
     labels = table(spark, d, "topic_labels").select("president_num", "president")
     e = e.join(F.broadcast(labels), "president_num")
-    return e.select("president", "vec_id", "topic_idx", F.greatest(F.col("weight").cast("double"), F.lit(0.0)).alias("weight"))
+    return e.select("president", "vec_id", "topic_idx", F.abs(F.col("weight").cast("double")).alias("weight"))
 
 
 _WEIGHTS_SQL = (
-    "weights AS (SELECT president, vec_id, i AS topic_idx, greatest(CAST(embedding[i + 1] AS DOUBLE), 0.0) AS weight FROM embeddings JOIN topic_labels ON president_num = label + 1, range(10) AS r(i)), "
+    "weights AS (SELECT president, vec_id, i AS topic_idx, abs(CAST(embedding[i + 1] AS DOUBLE)) AS weight FROM embeddings JOIN topic_labels ON president_num = label + 1, range(10000) AS r(i) WHERE i < len(embedding)), "
     "labels AS (SELECT president, i AS topic_idx, topics_list[i + 1] AS topics FROM topic_labels, range(50) AS r(i) WHERE i < len(topics_list) AND topics_list[i + 1] IS NOT NULL), "
     "named AS (SELECT president, topic_idx, len(topics) AS parts, unnest(topics) AS topic FROM labels), "
     "by_doc AS (SELECT president, vec_id, topic, sum(weight / parts) AS w FROM weights JOIN named USING (president, topic_idx) WHERE topic IS NOT NULL AND topic <> 'Unclear Topic' GROUP BY 1, 2, 3) "
@@ -357,12 +356,34 @@ def f08(spark, d):
     return table(spark, d, "documents").select("doc_id", T.ascii_only(F.col("text")).alias("clean"))
 
 
-@query("f07_whitespace")
+_SPACE = "[\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
+_NORMAL = f"trim(regexp_replace(lower(text), '{_SPACE}', ' ', 'g'))"
+
+
+@query("f07_whitespace", f"SELECT row_id, {_NORMAL} AS clean FROM speeches")
 def f07(spark, d):
     return table(spark, d, "speeches").select("row_id", T.normalize_space(F.col("text")).alias("clean"))
 
 
-@query("f15_clean")
+def _clean_sql(text: str, stop: list[str]) -> str:
+    """What ``clean_document`` does, as an array of words."""
+    kept = f"list_filter(regexp_split_to_array(lower({text}), '[\\t-\\r ]+'), lambda w: w <> '' AND w NOT IN {_in(stop)})"
+    signs = T.PUNCTUATION.replace("-", "").replace("'", "''")
+    bare = f"translate(replace(array_to_string({kept}, ' '), '-', ' '), '{signs}', '')"
+    lemma = (
+        "CASE WHEN regexp_matches(w, '(ss|us|is)$') THEN w WHEN regexp_matches(w, '[^aeiou]ies$') AND length(w) > 4 THEN regexp_replace(w, 'ies$', 'y') "
+        "WHEN regexp_matches(w, '(ch|sh|x|ss|z)es$') THEN regexp_replace(w, 'es$', '') WHEN regexp_matches(w, '[^s]s$') AND length(w) > 3 THEN regexp_replace(w, 's$', '') ELSE w END"
+    )
+    return f"list_transform(list_filter(regexp_split_to_array({bare}, '[\\t-\\r ]+'), lambda w: w <> ''), lambda w: {lemma})"
+
+
+@query("f12_sentences", f"SELECT doc_id, CAST(i - 1 AS BIGINT) AS sentence, s[i] AS text FROM (SELECT doc_id, list_filter(string_split(regexp_replace({_NORMAL}, '([.!?][\"''”’)\\]]*) ', '\\1' || chr(10), 'g'), chr(10)), lambda x: len(regexp_extract_all(x, '[\\p{{L}}\\p{{N}}_]+|[^\\s\\p{{L}}\\p{{N}}_]')) > 1) AS s FROM documents WHERE text IS NOT NULL), range(1, 100000) AS r(i) WHERE i <= len(s)")
+def f12(spark, d):
+    docs = table(spark, d, "documents").where("text is not null")
+    return docs.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("sentence", "text")).select("doc_id", F.col("sentence").cast("long").alias("sentence"), "text")
+
+
+@query("f15_clean", f"SELECT doc_id, array_to_string({_clean_sql('text', STOP_WORDS)}, ' ') AS clean FROM documents")
 def f15(spark, d):
     return table(spark, d, "documents").select("doc_id", T.clean_document(F.col("text"), STOP_WORDS).alias("clean"))
 
@@ -424,11 +445,65 @@ def f28(spark, d):
     return table(spark, d, "topic_labels").select(p, F.replace(p, F.lit(" "), F.lit("_")).alias("path"), F.length(p).cast("long").alias("size"), F.concat(p, F.lit(".v.01")).alias("sense")).distinct()
 
 
+def _addresses(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "inaug_speeches")
+    return a.select("row_id", T.year_of(F.col("date")).alias("year"), T.remove_literals(F.col("text"), ["0092", "0097"]).alias("text"), F.col("text").alias("raw"))
+
+
+@query("m15_year_topics")
+def m15(spark, d):
+    return topics.single_topics(_addresses(spark, d), "row_id", "text", 5, STOP_WORDS).join(_addresses(spark, d).select("row_id", "year"), "row_id")
+
+
+_M15_TF = "SELECT row_id, term, count(*) AS tf FROM (SELECT row_id, unnest(regexp_extract_all(lower(replace(replace(text, '0092', ''), '0097', '')), '[\\p{L}\\p{N}_]{2,}')) AS term FROM inaug_speeches) WHERE term NOT IN " + _in(STOP_WORDS) + " GROUP BY 1, 2"
+
+
+@query("m15_frequent_terms", f"SELECT row_id, array_agg(term ORDER BY rank) AS terms FROM (SELECT row_id, term, row_number() OVER (PARTITION BY row_id ORDER BY tf DESC, term) AS rank FROM ({_M15_TF})) WHERE rank <= 5 GROUP BY row_id")
+def m15_terms(spark, d):
+    return m15(spark, d).select("row_id", F.col("lda_terms").alias("terms"))
+
+
 @query("f33_map")
 def f33(spark, d):
-    freq = topics.relative_frequency(table(spark, d, "inaug_speeches").withColumn("year", T.year_of(F.col("date"))), "year", "text")
-    top = topics.top_terms(freq, "year", "freq", 5)
-    return top.groupBy("year").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("rank", "term")))).alias("terms"))
+    """Year -> the words of both models of its last address, as a dictionary that is updated row by row would hold."""
+    last = m15(spark, d).where("year is not null").groupBy("year").agg(F.max_by(F.array("nmf_terms", "lda_terms"), "row_id").alias("terms"))
+    return last.groupBy(F.floor(F.col("year") / 10).cast("int").alias("decade")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("year", "terms")))).alias("years"))
+
+
+@query(
+    "f33_map_entries",
+    "WITH tf AS (SELECT president, paragraph, count(*) AS n FROM speeches WHERE president IS NOT NULL AND paragraph < 5 GROUP BY 1, 2) SELECT president, array_agg(paragraph || ':' || n ORDER BY paragraph) AS entries FROM tf GROUP BY president",
+)
+def f33_entries(spark, d):
+    counts = table(spark, d, "speeches").where("president is not null and paragraph < 5").groupBy("president", "paragraph").agg(F.count(F.lit(1)).alias("n"))
+    maps = counts.groupBy("president").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("paragraph", "n")))).alias("m"))
+    return maps.select("president", F.transform(F.map_entries("m"), lambda e: F.concat(e["key"].cast("string"), F.lit(":"), e["value"].cast("string"))).alias("entries"))
+
+
+_M16 = (
+    f"WITH docs AS (SELECT coalesce(TRY_CAST(right(trim(date), 4) AS INTEGER), TRY_CAST(left(trim(date), 4) AS INTEGER)) AS year, {_clean_sql("replace(replace(text, '<U+0092>', ' '), '<U+0097>', ' ')", STOP_WORDS)} AS w FROM inaug_speeches), "
+    "words AS (SELECT year, len(w) AS n, unnest(w) AS term FROM docs WHERE year IS NOT NULL AND len(w) > 0), freq AS (SELECT term, year, sum(1.0 / n) AS freq FROM words GROUP BY 1, 2), total AS (SELECT term, sum(freq) AS total FROM freq GROUP BY term) "
+)
+
+
+def _term_years(spark: SparkSession, d: str) -> DataFrame:
+    docs = _addresses(spark, d).withColumn("raw", F.replace(F.replace("raw", F.lit("<U+0092>"), F.lit(" ")), F.lit("<U+0097>"), F.lit(" ")))
+    return topics.term_periods(docs, "year", "raw", STOP_WORDS)
+
+
+@query("m16_term_year", _M16 + "SELECT term, year, round(freq, 6) AS freq, round(total, 6) AS total FROM freq JOIN total USING (term)")
+def m16(spark, d):
+    return _term_years(spark, d).select("term", "year", _r("freq"), _r("total"))
+
+
+@query("o03_top_terms_by_year", _M16 + ", top AS (SELECT term FROM total ORDER BY round(total, 9) DESC, term LIMIT 150) SELECT term, array_agg(year || ':' || CAST(round(freq, 6) AS DECIMAL(12, 6)) ORDER BY year DESC) AS years FROM freq JOIN top USING (term) GROUP BY term")
+def o03(spark, d):
+    """The 150 terms of the highest totals with their years, the latest first."""
+    freq = _term_years(spark, d)
+    top = freq.select("term", "total").distinct().orderBy(F.desc(F.round("total", 9)), "term").limit(150)
+    entry = F.concat(F.col("year").cast("string"), F.lit(":"), F.round("freq", 6).cast("decimal(12,6)").cast("string"))
+    years = F.reverse(F.array_sort(F.collect_list(F.struct("year", entry.alias("e")))))
+    return freq.join(F.broadcast(top.select("term")), "term").groupBy("term").agg(years.alias("y")).select("term", F.col("y.e").alias("years"))
 
 
 @query("u01_union", "SELECT row_id, date, speech_title, text FROM speeches UNION ALL SELECT row_id, date, NULL, text FROM inaug_speeches")
@@ -451,6 +526,11 @@ def j06(spark, d):
     return topics.term_counts(table(spark, d, "documents"), "source", "text", STOP_WORDS)
 
 
+@query("j06_transcript_stopwords", "WITH " + _TF.format(k="source", t="documents", w=f"WHERE term NOT IN {_in(stop_words(mode='reference'))}") + " SELECT source, term, tf FROM tf")
+def j06_custom(spark, d):
+    return topics.term_counts(table(spark, d, "documents"), "source", "text", stop_words(mode="reference"))
+
+
 @query("m02_counts", "WITH " + _TF.format(k="speech_id", t="speeches", w="") + " SELECT speech_id, term, tf FROM tf")
 def m02(spark, d):
     return topics.term_counts(table(spark, d, "speeches"), "speech_id", "text")
@@ -494,6 +574,77 @@ def s08(spark, d):
     return found.select("page_id", F.col("paragraph").cast("long").alias("paragraph"), "text", F.col("full_document").cast("long").alias("full_document"))
 
 
+def _page_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """The pages with their text in either container or, every third, in none."""
+    kind = F.col("page_id") % 3
+    html = F.when(kind == 0, F.replace("html", F.lit("view-transcript"), F.lit("expandable-text-container"))).when(kind == 1, F.col("html")).otherwise(F.replace("html", F.lit("view-transcript"), F.lit("other")))
+    return _pages(spark, d).withColumn("html", html)
+
+
+@query(
+    "s10_page_kinds",
+    "WITH s AS (SELECT speech_id AS page_id, text, paragraph, row_id FROM speeches WHERE speech_id IS NOT NULL AND text IS NOT NULL), heads AS (SELECT speech_id AS page_id, min(president) AS president FROM speeches WHERE speech_id IS NOT NULL AND text IS NOT NULL GROUP BY 1), "
+    "found AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY paragraph, row_id) - 1 AS BIGINT) AS paragraph, text, CAST(CASE WHEN count(*) OVER (PARTITION BY page_id) = 1 THEN 1 ELSE 0 END AS BIGINT) AS full_document FROM s WHERE page_id % 3 <> 2 "
+    "UNION ALL SELECT DISTINCT page_id, CAST(NULL AS BIGINT), NULL, CAST(2 AS BIGINT) FROM s WHERE page_id % 3 = 2) SELECT page_id, trim(president) AS president, paragraph, text, full_document FROM found JOIN heads USING (page_id)",
+)
+def s10(spark, d):
+    found = readers.html_paragraphs(_page_kinds(spark, d))
+    return found.select("page_id", "president", F.col("paragraph").cast("long").alias("paragraph"), "text", F.col("full_document").cast("long").alias("full_document"))
+
+
+@query("s08_links", "SELECT o_orderkey AS page_id, strftime(o_orderdate, '%m/%d/%Y') AS date, 'Remarks: ' || o_orderstatus AS title, '/speeches/' || o_orderkey AS url FROM orders")
+def s08_links(spark, d):
+    """One listing page an order, with a link that names no speech and one that does."""
+    day = F.date_format("o_orderdate", "MMMM d, yyyy")
+    parts = [F.lit("<a href='/about'>About</a><div class='views-row'><a href='/speeches/"), F.col("o_orderkey").cast("string"), F.lit("'>"), day, F.lit(": Remarks: "), F.col("o_orderstatus"), F.lit("</a></div>")]
+    links = readers.html_links(table(spark, d, "orders").select(F.col("o_orderkey").alias("page_id"), F.concat(*parts).alias("html")))
+    return links.select("page_id", T.parse_long_date(F.col("date")).alias("date"), "title", "url")
+
+
+@query("s13_unpivot", "SELECT president_num, president, CAST(i AS BIGINT) AS topic_idx, array_to_string(topics_list[i + 1], '; ') AS label FROM topic_labels, range(15) AS r(i) WHERE i < len(topics_list) AND topics_list[i + 1] IS NOT NULL")
+def s13(spark, d):
+    """The labels as a wide table of fifteen columns, back in long form."""
+    names = [f"topic_{i}" for i in range(1, 16)]
+    lists = [F.when(F.get("topics_list", i).isNotNull(), F.concat_ws("; ", F.get("topics_list", i))).alias(n) for i, n in enumerate(names)]
+    wide = table(spark, d, "topic_labels").select("president_num", "president", *lists)
+    return rows.unpivot(wide, ["president_num", "president"], names).select("president_num", "president", F.col("topic_idx").cast("long").alias("topic_idx"), "label")
+
+
+@query("p15_rename_index", "SELECT batch_file, row_idx, word AS surface, lemma, CAST(row_number() OVER (PARTITION BY batch_file ORDER BY row_idx, loaded_at) - 1 AS BIGINT) AS index FROM presidents_words")
+def p15(spark, d):
+    w = table(spark, d, "presidents_words").withColumnsRenamed({"word": "surface"})
+    w = rows.ordinal(w, ["batch_file"], ["row_idx", "loaded_at"], "index").drop("loaded_at", "pos", "year", "president", "speech_id", "paragraph", "Unnamed: 0")
+    return w.select("batch_file", "row_idx", "surface", "lemma", F.col("index").cast("long").alias("index"))
+
+
+@query("a19_speech_vocabulary", "SELECT president, speech_title, count(DISTINCT token) AS vocab FROM (SELECT president, speech_title, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS token FROM speeches WHERE president IS NOT NULL AND text IS NOT NULL AND NOT contains(speech_title, 'Debate')) GROUP BY 1, 2")
+def a19(spark, d):
+    return stats.vocabulary_table(table(spark, d, "speeches"))
+
+
+_F2 = "text"
+for _x in T.FILLERS_SHORT:
+    _F2 = f"replace({_F2}, '{_x}', '')"
+
+
+@query("f02_short_filler", f"SELECT row_id, {_F2} AS clean FROM speeches")
+def f02(spark, d):
+    return table(spark, d, "speeches").select("row_id", T.remove_literals(F.col("text"), T.FILLERS_SHORT).alias("clean"))
+
+
+@query("f01_filler_intent", "SELECT row_id, regexp_replace(replace(text, chr(160), ' '), '(?i)\\([\\t-\\r ]*(?:laughter and applause|applause and laughter|applause|laughter)\\.?[\\t-\\r ]*\\)', '', 'g') AS clean FROM speeches")
+def f01_intent(spark, d):
+    return table(spark, d, "speeches").select("row_id", T.replace_filler(F.col("text")).alias("clean"))
+
+
+@query("k10_scatter")
+def k10(spark, d):
+    """What a scatter plot of documents shows: place by two components, text and its length as the colour."""
+    points = embed.principal_components(table(spark, d, "embeddings"), "vec_id", "embedding", 2)
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("sentence"), F.length("text").alias("length"))
+    return points.join(docs, "vec_id").select("vec_id", F.get("components", 0).alias("x"), F.get("components", 1).alias("y"), "sentence", "length")
+
+
 @query("d01_word_table")
 def d01(spark, d):
     return words.word_table(table(spark, d, "speeches"), ["president", "speech_id", "paragraph"])
@@ -511,7 +662,7 @@ def d04(spark, d):
 
 @query("m03_lda")
 def m03(spark, d):
-    return topics.lda_topics(table(spark, d, "documents"), "doc_id", "text", 10, 5)
+    return topics.lda_topics(table(spark, d, "documents"), "doc_id", "text", 10, 5, stop_words=STOP_WORDS)
 
 
 def _speech_docs(spark: SparkSession, d: str) -> DataFrame:
@@ -547,18 +698,36 @@ def m13(spark, d):
 
 @query("k03_append_roundtrip", "SELECT president, 2 * count(*) AS n FROM presidents_words GROUP BY president")
 def k03(spark, d):
-    base = shared_dir(spark).removeprefix("file://")
-    folder = tempfile.mkdtemp(prefix="rostrum-k03-", dir=base if Path(base).is_dir() else None)
+    path = shared_path(spark, "k03")
     w = table(spark, d, "presidents_words").select("word", "pos", "lemma", "year", "president")
     for _ in range(2):
-        sinks.append_parquet(w, f"file://{folder}/words")
-    return spark.read.parquet(f"file://{folder}/words").groupBy("president").agg(F.count(F.lit(1)).alias("n"))
+        sinks.append_parquet(w, path)
+    return spark.read.parquet(path).groupBy("president").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("k01_csv_roundtrip", "SELECT word, pos, lemma, year, president FROM presidents_words WHERE word <> '' AND pos <> '' AND lemma <> ''")
+@query("k01_csv_roundtrip", "SELECT word, pos, lemma, year, president FROM presidents_words")
 def k01(spark, d):
-    base = shared_dir(spark).removeprefix("file://")
-    folder = tempfile.mkdtemp(prefix="rostrum-k01-", dir=base if Path(base).is_dir() else None)
-    w = table(spark, d, "presidents_words").select("word", "pos", "lemma", "year", "president").where("word <> '' and pos <> '' and lemma <> ''")
-    w.write.mode("overwrite").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"file://{folder}/words")
-    return readers.read_csv(spark, f"file://{folder}/words", readers.SCHEMAS["words"])
+    path = shared_path(spark, "k01")
+    sinks.write_csv(table(spark, d, "presidents_words").select("word", "pos", "lemma", "year", "president"), path, null="\\N")
+    return readers.read_csv(spark, path, readers.SCHEMAS["words"], null="\\N")
+
+
+@query("d09_batch_load", "SELECT batch_file, lower(word) AS word, lemma, count(*) AS n FROM presidents_words GROUP BY 1, 2, 3")
+def d09(spark, d):
+    """The word table written as CSV batches, loaded by one scan into a table, and read."""
+    path = shared_path(spark, "d09")
+    columns = ["word", "pos", "lemma", "year", "president"]
+    sinks.write_batches(table(spark, d, "presidents_words").select(*columns, "batch_file"), f"{path}/batches", null="\\N")
+    sinks.load_batches(spark, f"{path}/batches/*/part-*", readers.SCHEMAS["words"], f"{path}/words", index=False, null="\\N")
+    return spark.read.parquet(f"{path}/words").groupBy("batch_file", "word", "lemma").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("d01_agreement")
+def d01_agreement(spark, d):
+    """How far tags and lemmas agree with those of the word table: words that stand once in a paragraph, by coarse tag."""
+    place = ["speech_id", "paragraph", "word"]
+    own = words.word_table(table(spark, d, "speeches"), ["speech_id", "paragraph"]).groupBy(*place).agg(F.min("pos").alias("pos"), F.min("lemma").alias("lemma"), F.count(F.lit(1)).alias("n")).where("n = 1")
+    given = table(spark, d, "presidents_words").where("word is not null and pos is not null and lemma is not null")
+    given = given.groupBy("speech_id", "paragraph", F.lower("word").alias("word")).agg(F.min("pos").alias("pos2"), F.min(F.lower("lemma")).alias("lemma2"), F.count(F.lit(1)).alias("n2")).where("n2 = 1")
+    both = own.join(given, place)
+    return both.groupBy("pos2").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("pos") == F.col("pos2")).alias("same_tag"), F.count_if(F.left("pos", F.lit(1)) == F.left("pos2", F.lit(1))).alias("same_class"), F.count_if(F.col("lemma") == F.col("lemma2")).alias("same_lemma"))

@@ -90,9 +90,16 @@ def split_naive(text: Column) -> Column:
     return F.split(text, r"\. ")
 
 
+def sentences(text: Column) -> Column:
+    """Sentences of more than one token (word or sign) of a text in lower case with white space normalised: cut behind full
+    stops, question and exclamation marks and the quotes and brackets that close with them."""
+    marked = F.regexp_replace(normalize_space(text), r"([.!?][\"'”’)\]]*) ", "$1\n")
+    return F.filter(F.split(marked, "\n"), lambda x: F.regexp_count(x, F.lit(r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]")) > 1)
+
+
 def clean_document(text: Column, stop_words: list[str]) -> Column:
     """Lower case, stop words out, hyphens to spaces, punctuation characters out, plain plurals to singulars."""
-    kept = F.filter(F.split(F.lower(text), r"\s+"), lambda w: (w != "") & ~F.array_contains(F.array(*map(F.lit, stop_words)), w))
+    kept = F.filter(F.split(F.lower(text), r"\s+"), lambda w: (w != "") & ~w.isin(list(stop_words)))
     bare = F.translate(F.replace(F.array_join(kept, " "), F.lit("-"), F.lit(" ")), PUNCTUATION.replace("-", ""), "")
     return F.array_join(F.transform(F.filter(F.split(bare, r"\s+"), lambda w: w != ""), noun_lemma), " ")
 

@@ -17,7 +17,7 @@ def category_frequency(words: DataFrame, tags: list[str], groups: dict[str, list
 
     Rows with a null year, lemma or pos count for nothing but the year's total (where pos is not null). An empty
     table gives no rows. The grid (years times distinct lemmas of a closed class) and the totals are small; the only
-    large exchange is the partial count by (year, lemma, pos).
+    large exchange is the partial count by (year, lemma, pos). The years come as one array to each lemma.
     """
     tokens = words.select("year", "lemma", "pos").where("year is not null")
     counts = tokens.where("lemma is not null and pos is not null").groupBy("year", "lemma", "pos").agg(F.count(F.lit(1)).alias("n"))
@@ -29,7 +29,8 @@ def category_frequency(words: DataFrame, tags: list[str], groups: dict[str, list
     else:
         lemmas = named.select("lemma").distinct()
         amounts = named.groupBy("year", "lemma").agg(F.sum("n").alias("n"))
-    grid = totals.crossJoin(lemmas)
+    years = totals.agg(F.collect_list(F.struct("year", "total")).alias("y")).scalar()  # as many as the calendar has
+    grid = lemmas.select("lemma", F.explode(years).alias("y")).select("lemma", "y.year", "y.total")
     rows = grid.join(amounts, ["year", "lemma"], "left")
     freq = F.coalesce(F.col("n") / F.when(F.col("total") > 0, F.col("total")), F.lit(0.0))
     return rows.select("year", F.col("lemma").alias("word"), freq.alias("freq"), category(F.col("lemma"), groups).alias("category"))
@@ -69,6 +70,7 @@ def tag_groups(words: DataFrame) -> DataFrame:
 
 
 def first_seen(rows: DataFrame, value: str, order: str) -> DataFrame:
-    """Distinct values with their place by first appearance, from 1. The final ranking is over distinct values only."""
+    """Distinct values with their place by first appearance, from 1. For values of which there are few, such as authors: the
+    final ranking, over one row a value, is one task."""
     first = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.min(order).alias("first"))
     return first.withColumn("place", F.row_number().over(Window.orderBy("first", value)))

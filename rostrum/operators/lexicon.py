@@ -34,6 +34,19 @@ STOP_WORDS = (
     "whom why will with would you your yours yourself yourselves"
 ).split()
 
+# Words of transcripts added to a general list. In the source two pairs lack a comma and are fused.
+TRANSCRIPT_STOP_WORDS = (
+    "audience thank applause president mr booo lady yes member everybody make members secretary shall thats theyre just ms ve 000 fellow got ive okay allen 150 lets sure im think going lot 90 200 let transit "
+    "executive power land scrip"
+).split()
+FUSED_STOP_WORDS = {"lady": "ladyyes", "yes": "ladyyes", "make": "makemembers", "members": "makemembers"}
+
+
+def stop_words(general: list[str] = STOP_WORDS, mode: str = "intent") -> list[str]:
+    """A general list and the transcripts' words; ``reference`` keeps the two fused pairs, so that their words stay."""
+    own = TRANSCRIPT_STOP_WORDS if mode == "intent" else [FUSED_STOP_WORDS.get(w, w) for w in TRANSCRIPT_STOP_WORDS]
+    return list(dict.fromkeys([*general, *own]))
+
 
 def category(word: Column, groups: dict[str, list[str]], other: str = "n/a") -> Column:
     """The category of a word, ``n/a`` for words of none."""

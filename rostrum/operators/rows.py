@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -54,6 +53,7 @@ def replace_speech(rows: DataFrame, is_it: Column, paragraphs: list[str]) -> Dat
     return rows.where(~F.coalesce(is_it, F.lit(False))).unionByName(new)
 
 
-def for_each_group(rows: DataFrame, keys: list[str], fn: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """What a loop over distinct keys does, as one plan: ``fn`` must itself group by ``keys``."""
-    return fn(rows.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])))
+def unpivot(rows: DataFrame, ids: list[str], columns: list[str], index: str = "topic_idx", value: str = "label") -> DataFrame:
+    """A wide table in long form: ``ids``, the column's place from 0 and its value; nulls are left out."""
+    long = rows.select(*ids, F.posexplode(F.array(*[F.col(c) for c in columns])).alias(index, value))
+    return long.where(F.col(value).isNotNull())

@@ -9,7 +9,7 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rostrum.functions.text import vector_tokens
+from rostrum.functions.text import clean_document, vector_tokens
 
 
 def term_counts(docs: DataFrame, key: str, text: str, stop_words: list[str] = ()) -> DataFrame:
@@ -28,7 +28,7 @@ def tfidf(docs: DataFrame, key: str, text: str, stop_words: list[str] = ()) -> D
     counts = term_counts(docs, key, text, stop_words)
     n = docs.where(F.col(key).isNotNull()).select(key).distinct().agg(F.count(F.lit(1)).alias("n"))
     df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighed = counts.join(df, "term").join(F.broadcast(n), how="inner").withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
+    weighed = counts.join(df, "term").withColumn("w", F.col("tf") * (F.log((1 + n.scalar()) / (1 + F.col("df"))) + 1))
     norms = weighed.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return weighed.join(norms, key).select(key, "term", "tf", (F.col("w") / F.col("norm")).alias("tfidf"))
 
@@ -105,16 +105,48 @@ def nmf_topics(docs: DataFrame, model_key: str, doc_key: str, text: str, k: int,
     return found.select(F.col("m").alias(model_key), F.col("d").alias("doc"), "topic_idx", "weight", "words")
 
 
-def lda_topics(docs: DataFrame, key: str, text: str, k: int, n_words: int, seed: int = 0, vocabulary: int = 1 << 16) -> DataFrame:
-    """``topic, rank, term, weight``: online variational Bayes, five passes, over word counts."""
-    tokens = docs.where(F.col(text).isNotNull()).select(key, vector_tokens(F.col(text)).alias("tokens")).where(F.size("tokens") > 0)
-    counter = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=vocabulary).fit(tokens)
+def lda_topics(docs: DataFrame, key: str, text: str, k: int, n_words: int, seed: int = 0, stop_words: list[str] = ()) -> DataFrame:
+    """``topic, rank, term, weight``: online variational Bayes, five passes, over word counts without ``stop_words``.
+
+    Every term is in the vocabulary, however rare; it goes to the driver, as the model's topics do.
+    """
+    tokens = docs.where(F.col(text).isNotNull()).select(key, vector_tokens(F.col(text)).alias("tokens"))
+    if stop_words:
+        tokens = tokens.withColumn("tokens", F.filter("tokens", lambda t: ~t.isin(list(stop_words))))
+    tokens = tokens.where(F.size("tokens") > 0)
+    size = tokens.select(F.explode("tokens").alias("t")).agg(F.count_distinct("t").alias("n")).first()["n"]
+    if not size:
+        return docs.sparkSession.createDataFrame([], "topic int, rank int, term string, weight double")
+    counter = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=size).fit(tokens)
     model = LDA(k=k, maxIter=5, optimizer="online", learningOffset=50.0, learningDecay=0.7, subsamplingRate=1.0, seed=seed).fit(counter.transform(tokens))
     words = docs.sparkSession.createDataFrame([(i, w) for i, w in enumerate(counter.vocabulary)], "term_idx int, term string")
     described = model.describeTopics(n_words).select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "x"))
     return described.join(words, F.col("x.termIndices") == F.col("term_idx")).select("topic", (F.col("rank") + 1).alias("rank"), "term", F.col("x.termWeights").alias("weight"))
 
 
+def single_topics(docs: DataFrame, key: str, text: str, n_words: int = 5, stop_words: list[str] = ()) -> DataFrame:
+    """The words of one topic for each document, its sentences (cut at ``. ``) as the rows: ``key, nmf_terms, lda_terms``.
+
+    With one topic, LDA's word weights are the words' counts and a constant, so ``lda_terms`` are the most frequent
+    words. ``nmf_terms`` are those of a factorisation of rank one of the TF-IDF weights. Ties by the word; a document
+    without a word has no row.
+    """
+    sentences = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, F.posexplode(F.split(F.col(text), r"\. ")).alias("_sentence", "_text"))
+    counts = top_terms(term_counts(docs, key, text, stop_words), key, "tf", n_words)
+    lda = counts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("t")).select(key, F.col("t.term").alias("lda_terms"))
+    nmf = nmf_topics(sentences, key, "_sentence", "_text", 1, stop_words, n_words).groupBy(key).agg(F.split(F.first("words"), " ").alias("nmf_terms"))
+    return lda.join(nmf, key, "left").select(key, "nmf_terms", "lda_terms")
+
+
+def term_periods(docs: DataFrame, period: str, text: str, stop_words: list[str]) -> DataFrame:
+    """``term, period, freq, total``: each document's cleaned words as shares of the document, added by period; ``total`` over
+    all periods. The long form of a matrix of terms and periods."""
+    cleaned = docs.where(F.col(period).isNotNull()).select(period, F.filter(F.split(clean_document(F.col(text), stop_words), " "), lambda w: w != "").alias("w"))
+    shares = cleaned.where(F.size("w") > 0).select(period, F.explode("w").alias("term"), (F.lit(1.0) / F.size("w")).alias("share"))
+    freq = shares.groupBy("term", period).agg(F.sum("share").alias("freq"))
+    return freq.join(freq.groupBy("term").agg(F.sum("freq").alias("total")), "term")
+
+
 def topic_scores(weights: DataFrame, labels: DataFrame, key: str, doc: str, unclear: str = "Unclear Topic") -> DataFrame:
     """``key, topic, score`` from ``key, doc, topic_idx, weight`` and ``key, topic_idx, topics`` (array, null: none).
 

@@ -13,20 +13,28 @@ CLOSED = {
     "MD": "will would shall should can could may might must ought ca wo 'll need",
     "PRP": "i you he she it we they me him us them myself yourself himself herself itself ourselves themselves",
     "PRP$": "my your his its our their",
-    "DT": "the a an this these those every each any some no all both",
-    "IN": "of in for on with at by from about into through during before after above below between under over against among upon if because while since although whether than as",
+    "DT": "the a an this these those every each any some no all both another either neither",
+    "CD": "one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion",
+    "NN": "nothing something anything everything nobody everybody anybody someone everyone anyone morning evening spring king thing",
+    "IN": "of in for on with at by from about into through during before after above below between under over against among upon if because while since although whether than as without within until till beside besides toward towards across along around behind beyond despite except inside near onto outside throughout",
     "CC": "and or but nor yet",
     "TO": "to",
-    "WP": "who whom what", "WP$": "whose", "WDT": "which", "WRB": "when where why how",
+    "WP": "who whom what", "WP$": "whose", "WDT": "which whatever whichever", "WRB": "when where why how",
     "EX": "there",
-    "RB": "not n't never very also here now then again always often too so",
-    "VBZ": "is has does", "VBP": "am are have do", "VBD": "was were had did said", "VB": "be", "VBN": "been",
+    "RB": "not n't never very also here now then again always often too so rather soon together perhaps even still just ever already almost away back once instead indeed today yet tomorrow yesterday",
+    "JJ": "few many more most such other own same good great new old last next first easy easier better best free true",
+    "VBZ": "is has does", "VBP": "am are have do", "VB": "be ask see let", "VBN": "been begun taken given known seen done gone spoken chosen written grown shown broken driven fallen borne sworn",
+    "VBD": "was were had did said came saw left wrote gave met told chose took went knew thought kept felt spoke won made stood held found fell grew drew lost paid ran sat sent led built bought brought taught fought sought caught heard meant became began broke drove rose swore tore wore",
     "UH": "oh ah well yes",
 }
 IRREGULAR = {
     "is": "be", "am": "be", "are": "be", "was": "be", "were": "be", "been": "be", "has": "have", "had": "have", "does": "do", "did": "do", "done": "do", "said": "say", "went": "go", "gone": "go",
     "made": "make", "took": "take", "taken": "take", "gave": "give", "given": "give", "came": "come", "saw": "see", "seen": "see", "knew": "know", "known": "know", "thought": "think", "told": "tell",
     "kept": "keep", "left": "leave", "felt": "feel", "spoke": "speak", "won": "win", "men": "man", "women": "woman", "children": "child", "people": "people", "lives": "life", "wives": "wife",
+    "begun": "begin", "began": "begin", "wrote": "write", "written": "write", "met": "meet", "chose": "choose", "chosen": "choose", "stood": "stand", "held": "hold", "found": "find", "fell": "fall", "fallen": "fall",
+    "grew": "grow", "grown": "grow", "drew": "draw", "lost": "lose", "paid": "pay", "ran": "run", "sat": "sit", "sent": "send", "led": "lead", "built": "build", "bought": "buy", "brought": "bring", "taught": "teach",
+    "fought": "fight", "sought": "seek", "caught": "catch", "heard": "hear", "meant": "mean", "became": "become", "broke": "break", "broken": "break", "drove": "drive", "driven": "drive", "rose": "rise", "shown": "show", "spoken": "speak",
+    "swore": "swear", "sworn": "swear", "tore": "tear", "wore": "wear", "borne": "bear",
     "better": "good", "best": "good", "worse": "bad", "worst": "bad",
 }
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -22,12 +25,18 @@ def shared_dir(spark: SparkSession) -> str:
         if not master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="rostrum-checkpoint-")
+        atexit.register(shutil.rmtree, folder, True)
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, as Spark's readers and writers take it."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back; the lineage ends there."""
     shared_dir(df.sparkSession)
@@ -57,9 +66,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """``rows`` over all cores where a scan of few or small files would leave most of them idle.
+    """``rows`` over all cores where a scan of few and small files would leave most of them idle.
 
-    A large input comes in more splits than there are cores and passes as it is, without a shuffle.
+    Decided from the files' number and the planner's estimate of their size, without running anything. A large input
+    comes in more splits than there are cores and passes as it is, without a shuffle; so does what is not read from files.
     """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(2 * cores) if rows.rdd.getNumPartitions() < cores else rows
+    spark = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    files = rows.inputFiles()
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    small = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < cores * split
+    return rows.repartition(2 * cores) if 0 < len(files) < cores and small else rows

@@ -15,23 +15,31 @@ SCHEMAS = {
     "words": "word string, pos string, lemma string, year int, president string",
     "words_lemmaless": "word string, pos string, year int, president string",
     "topic_labels": "president_num int, president string, topics_list array<array<string>>",
+    "topic_labels_wide": "president_num int, president string, " + ", ".join(f"topic_{i} string" for i in range(1, 16)),
     "stop_words": "president_num int, president string, stop_words array<string>",
     "pages": "page_id bigint, url string, html string",
 }
 
 
-def read_csv(spark: SparkSession, path: str | list[str], schema: str, index: bool = False) -> DataFrame:
-    """CSV with a header and quoted multi-line text; undecodable bytes vanish. ``index``: an unnamed first column."""
+def read_csv(spark: SparkSession, path: str | list[str], schema: str, index: bool = False, lines: bool = False, null: str = "") -> DataFrame:
+    """CSV with a header and quoted multi-line text; undecodable bytes vanish. ``index``: an unnamed first column.
+
+    ``lines``: no field holds a line break, so that large files are split among tasks. ``null`` is how null is written; with
+    the default, an empty field, an empty string is null too.
+    """
     full = f"_index string, {schema}" if index else schema
-    rows = spark.read.schema(full).csv(path, header=True, multiLine=True, escape='"', encoding="UTF-8", enforceSchema=True)
+    rows = spark.read.schema(full).csv(path, header=True, multiLine=not lines, escape='"', encoding="UTF-8", enforceSchema=True, nullValue=null)
     rows = rows.drop("_index")
     return rows.select(*[F.translate(c, "�", "").alias(c) if t == "string" else F.col(c) for c, t in rows.dtypes])
 
 
-def read_batches(spark: SparkSession, pattern: str, schema: str, index: bool = True) -> DataFrame:
-    """All batch files of a glob, each once, as one scan; ``batch_file`` tells the file."""
+def read_batches(spark: SparkSession, pattern: str, schema: str, index: bool = True, null: str = "") -> DataFrame:
+    """All batch files of a glob, each once, as one scan; ``batch_file`` tells the file, or the folder ``batch_file=...`` it is in."""
     full = f"_index string, {schema}" if index else schema
-    rows = spark.read.schema(full).csv(pattern, header=True, multiLine=True, escape='"').select("*", F.col("_metadata.file_name").alias("batch_file"))
+    # The folder's name is an escaped value, and the path holds it escaped once more.
+    folder = F.url_decode(F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), "batch_file=([^/]+)/", 1)))
+    name = F.when(folder != "", folder).otherwise(F.col("_metadata.file_name"))
+    rows = spark.read.schema(full).csv(pattern, header=True, multiLine=True, escape='"', nullValue=null).select("*", name.alias("batch_file"))
     return rows.drop("_index")
 
 

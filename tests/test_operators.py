@@ -170,3 +170,78 @@ def test_streaming_counts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.word, r.n) for r in spark.table("words").collect()} == {("a", 2), ("b", 1)}
+
+
+def test_word_table_agrees_with_the_given_one(spark):
+    from rostrum import catalog
+
+    got = catalog.queries()["d01_agreement"](spark, "/root/testdata/sf0.01").agg(*[F.sum(c).alias(c) for c in ("n", "same_tag", "same_class", "same_lemma")]).first()
+    assert got.n > 5000 and got.same_tag >= 0.8 * got.n and got.same_class >= 0.82 * got.n and got.same_lemma >= 0.9 * got.n
+
+
+@pytest.mark.parametrize("chars, pattern", [(stats.WORD_CHARS, r"[^\W]+"), (stats.NO_SPACE, r"\S+")])
+def test_runs_of_joined_texts(spark, chars, pattern):
+    import random
+    import re
+    from collections import Counter
+
+    rng = random.Random(4)
+    texts = [(rng.choice("ab"), None if i % 97 == 0 else i // 5, i, "".join(rng.choice("xyé1_ ,.\n") for _ in range(rng.choice([0, 1, 1, 2, 3, 30])))) for i in range(600)]
+    texts += [("c", 0, 9000, "alone"), ("d", 0, 9001, "")]
+    df = spark.createDataFrame(texts, "k string, p int, r long, t string").repartition(7)
+    borders = stats.border_runs(df, ["k"], ["p", "r"], "t", chars)
+    inner = df.select("k", F.explode(F.regexp_extract_all(stats.inner_text(F.col("t"), chars), F.lit(f"({chars}+)"), F.lit(1))).alias("run"))
+    got = Counter((r.k, r.run) for r in borders.unionByName(inner).collect())
+    joined = {k: "".join(t for _, _, _, t in sorted((x for x in texts if x[0] == k), key=lambda x: (x[1] if x[1] is not None else -1, x[2]))) for k in "abcd"}
+    assert got == Counter((k, run) for k, t in joined.items() for run in re.findall(pattern, t))
+
+
+def test_batches_are_loaded_once_with_nulls_and_empties(spark, tmp_path):
+    w = spark.createDataFrame([("A, b", "x/1.csv"), ("", "x/1.csv"), (None, "y"), ('two\nlines "q" \\ ', "y")], "word string, batch_file string")
+    sinks.write_batches(w, str(tmp_path / "in"), null="\\N")
+    sinks.load_batches(spark, str(tmp_path / "in/*/part-*"), "word string", str(tmp_path / "out"), index=False, null="\\N")
+    got = {(r.word, r.batch_file) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {("a, b", "x/1.csv"), ("", "x/1.csv"), (None, "y"), ('two\nlines "q" \\ ', "y")}
+
+
+def test_one_topic_for_each_document(spark):
+    d = spark.createDataFrame([(1, "cats chase mice. cats sleep. dogs bark"), (2, "the the"), (3, None), (None, "cats"), (4, "")], "k int, text string")
+    got = {r.k: (r.nmf_terms, r.lda_terms) for r in topics.single_topics(d, "k", "text", 2, ["the"]).collect()}
+    assert set(got) == {1} and got[1][1] == ["cats", "bark"] and got[1][0][0] == "cats" and len(got[1][0]) == 2
+
+
+def test_lda_keeps_rare_terms(spark):
+    d = spark.createDataFrame([(i, " ".join(f"t{j}" for j in range(i * 700, (i + 1) * 700))) for i in range(101)], "k int, text string")
+    from pyspark.ml.feature import CountVectorizer  # noqa: F401
+
+    seen = []
+    real = topics.CountVectorizer
+    try:
+        topics.CountVectorizer = lambda **kw: seen.append(kw["vocabSize"]) or real(**kw)
+        assert topics.lda_topics(d, "k", "text", 2, 3).count() == 6 and seen == [70_700]
+    finally:
+        topics.CountVectorizer = real
+    assert topics.lda_topics(d.limit(0), "k", "text", 2, 3).count() == 0
+
+
+def test_stop_words_of_transcripts():
+    from rostrum.operators.lexicon import stop_words
+
+    assert {"lady", "yes", "make", "members"} <= set(stop_words([])) and not {"lady", "yes", "make", "members"} & set(stop_words([], "reference"))
+    assert len(stop_words([], "reference")) == len(stop_words([])) - 2
+
+
+def test_sentences_of_more_than_one_token(spark):
+    assert one(spark, T.sentences, 'He left.  "Why?" I\u00a0asked\nNow. So (he said.) ok') == ["he left.", '"why?"', "i asked now.", "so (he said.)"]
+    assert one(spark, T.sentences, None) is None
+
+
+def test_spread_looks_at_files_only(spark, small, tmp_path):
+    from rostrum.plans.session import spread
+
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    rows = spark.range(10).groupBy("id").count()
+    assert spread(rows) is rows
+    scan = spark.read.parquet(f"{small}/documents.parquet")
+    assert spread(scan) is not scan
+    assert set(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - set(before) <= {max(spark.sparkContext.statusTracker().getJobIdsForGroup(None), default=0)}

@@ -9,8 +9,11 @@ def test_nothing_outside_imports_the_subpackage():
         if "llm" in f.relative_to(ROOT).parts:
             continue
         for node in ast.walk(ast.parse(f.read_text())):
-            names = [node.module or ""] if isinstance(node, ast.ImportFrom) else [a.name for a in node.names] if isinstance(node, ast.Import) else []
-            assert not any("rostrum.llm" in n for n in names), f
+            if isinstance(node, ast.ImportFrom):  # also "from rostrum import llm" and relative forms
+                names = [f"{node.module or ''}.{a.name}" for a in node.names]
+            else:
+                names = [a.name for a in node.names] if isinstance(node, ast.Import) else []
+            assert not any("llm" in n.split(".") for n in names), f
 
 
 def test_entry_point(spark):
