@@ -32,7 +32,7 @@ _SCRIPTS = [
     ("ar", regex.compile(r"\p{Arabic}")), ("ru", regex.compile(r"\p{Cyrillic}")), ("el", regex.compile(r"\p{Greek}")),
 ]
 _LATIN = regex.compile(r"\p{Latin}")
-_WORDS = re.compile(r"[^\W\d_]+")
+_SIGNS = str.maketrans(dict.fromkeys(".,;:!?()[]\"'’‘“”«»¿¡-–—…_*", " "))
 _BLOCKS = re.compile(r"\r?\n[^\S\n]*\n\s*")
 _ENDS = re.compile(r"[.!?…。！？｡．।॥؟۔;;]+")
 _CLOSERS = "\"”’»)]}』」）】›"
@@ -41,7 +41,7 @@ _PAIRS = {"“": "”", "«": "»", "「": "」", "『": "』", "(": ")", "[": "
 _NOTE = regex.compile(r"\s*(?:\[[^\[\]\n]*\]|\([^()\n]*\)|\{[^{}\n]*\}|（[^（）\n]*）|[¹²³⁴⁵⁶⁷⁸⁹⁰]+|[*†‡]+(?=\s|$))")
 _NOTE_BEGINS = frozenset("[({（¹²³⁴⁵⁶⁷⁸⁹⁰*†‡")
 _PARTS = frozenset(".'’-_&$€£")
-_NEXT = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:['’\-][\p{L}\p{N}]+)*")
+_NEXT = re.compile("[\\w\u0300-\u036f\u0610-\u061a\u064b-\u065f\u0900-\u0963]+(?:['’-]\\w+)*")  # marks of other scripts stand inside words
 _NUMERAL = regex.compile(r"\p{Nd}")
 _TITLE_WORD = regex.compile(r"^[\p{Lu}\p{N}\W]|^(?:of|the|and|to|a|an|in|on|for|at|by|de|la|le|les|du|des|el|los|las|y|et|und|der|die|das|del)$")
 
@@ -72,10 +72,10 @@ def language(text: str) -> str:
         if best[0] > latin:
             return best[1]
     votes = dict.fromkeys(("en", "de", "fr", "es"), 0.0)
-    for w in _WORDS.findall(text.lower()):
-        if langs := _STOP.get(w):
-            for lang in langs:
-                votes[lang] += 1 / len(langs)
+    found = Counter(text.lower().translate(_SIGNS).split())
+    for w in _STOP.keys() & found.keys():
+        for lang in _STOP[w]:
+            votes[lang] += found[w] / len(_STOP[w])
     return max(votes, key=lambda lang: votes[lang])
 
 
