@@ -687,8 +687,7 @@ def m08(spark, d):
 
 @query("m09_nmf_all_presidents")
 def m09(spark, d):
-    docs = table(spark, d, "speeches").select(F.lit("all").alias("model"), "president", "text")
-    return topics.nmf_topics(docs, "model", "president", "text", 20, STOP_WORDS)
+    return topics.nmf_few_documents(table(spark, d, "speeches").where("president is not null"), "president", "text", 20, STOP_WORDS)
 
 
 @query("m13_pca")

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rostrum.functions.text import clean_document, vector_tokens
+from rostrum.plans.session import parallelism
 
 
 def term_counts(docs: DataFrame, key: str, text: str, stop_words: list[str] = ()) -> DataFrame:
@@ -105,6 +109,106 @@ def nmf_topics(docs: DataFrame, model_key: str, doc_key: str, text: str, k: int,
     return found.select(F.col("m").alias(model_key), F.col("d").alias("doc"), "topic_idx", "weight", "words")
 
 
+def _descend(cross: np.ndarray, gram: np.ndarray, l1: float, l2: float, start: np.ndarray | None = None, sweeps: int = 25) -> np.ndarray:
+    """Rows a >= 0 that minimise half the squared error plus penalties, given ``gram`` of the other factor and ``cross`` with it."""
+    a = np.zeros_like(cross) if start is None else start.copy()
+    for _ in range(sweeps):
+        for j in range(a.shape[1]):
+            top = cross[:, j] - a @ gram[:, j] + a[:, j] * gram[j, j] - l1
+            a[:, j] = np.maximum(top, 0) / (gram[j, j] + l2) if gram[j, j] + l2 > 0 else 0.0
+    return a
+
+
+def nmf_few_documents(docs: DataFrame, doc_key: str, text: str, k: int, stop_words: list[str] = (), n_words: int = 5, passes: int = 20, max_docs: int = 2_000, alpha: float = 0.1, l1_ratio: float = 0.5) -> DataFrame:
+    """One factorisation of few documents of any length: ``doc, topic_idx, weight, words``, as ``nmf_topics`` has it.
+
+    Documents here are as few as authors: more than ``max_docs`` are refused, as their factor and sums of its size are on
+    the driver. Terms are many and stay distributed: the TF-IDF weights of a term are one row, and a pass over the rows
+    solves the terms' factor for the documents' factor of the moment, of which only sums (documents times ``k``)
+    leave a task. Alternates until ``passes`` are made, from the documents' singular vectors; deterministic.
+    """
+    spark = docs.sparkSession
+    keyed = docs.where(F.col(text).isNotNull()).select(F.col(doc_key).cast("string").alias("doc"), F.col(text).alias("text"))
+    weights = tfidf(keyed, "doc", "text", stop_words).persist()
+    try:
+        names = [r["doc"] for r in weights.select("doc").distinct().orderBy("doc").limit(max_docs + 1).collect()]
+        if len(names) > max_docs:
+            raise ValueError(f"more than {max_docs} documents")
+        schema = "doc string, topic_idx int, weight double, words string"
+        if not names:
+            return spark.createDataFrame([], schema)
+        n = len(names)
+        numbered = spark.createDataFrame([(d, i) for i, d in enumerate(names)], "doc string, i int")
+        cells = weights.join(F.broadcast(numbered), "doc").groupBy("term").agg(F.collect_list(F.struct("i", "tfidf")).alias("x"))
+        kept = cells.select("term", "x.i", "x.tfidf").persist()
+        n_terms = kept.count()
+        columns = kept.coalesce(max(1, min(parallelism(spark), n_terms // 2_000)))  # small inputs: few tasks a pass
+
+        def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], np.ndarray]]:
+            for b in batches:
+                for at in range(0, b.num_rows, 1000):
+                    part = b.slice(at, 1000)
+                    x = np.zeros((part.num_rows, n))
+                    row = np.repeat(np.arange(part.num_rows), np.diff(part.column(1).offsets.to_numpy()))
+                    x[row, part.column(1).flatten().to_numpy()] = part.column(2).flatten().to_numpy()
+                    yield part.column(0).to_pylist(), x
+
+        def total(of) -> np.ndarray:
+            """The sum over all terms' blocks of an array made of each."""
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                got = sum(of(x) for _, x in blocks(batches))
+                yield pa.RecordBatch.from_arrays([pa.array([] if isinstance(got, int) else [got.ravel()], pa.list_(pa.float64()))], names=["v"])
+
+            return np.sum([r["v"] for r in columns.mapInArrow(run, "v array<double>").collect() if len(r["v"])], axis=0)
+
+        try:
+            square, u = np.linalg.eigh(total(lambda x: x.T @ x).reshape(n, n))
+            k = max(1, min(k, n, n_terms))
+            s, u = np.sqrt(np.maximum(square[::-1][:k], 0)), u[:, ::-1][:, :k]
+            scale = u / np.where(s > 1e-12, s, np.inf)
+
+            def norms(x: np.ndarray) -> np.ndarray:
+                v = x @ scale
+                return np.stack([(np.maximum(v, 0) ** 2).sum(0), (np.maximum(-v, 0) ** 2).sum(0)])
+
+            plus, minus = np.sqrt(total(norms).reshape(2, k))
+            w = np.zeros((n, k))
+            for j in range(k):
+                up, un = np.maximum(u[:, j], 0), np.maximum(-u[:, j], 0)
+                p, size = max(((up, np.linalg.norm(up) * plus[j]), (un, np.linalg.norm(un) * minus[j])), key=lambda c: c[1])
+                w[:, j] = np.sqrt(s[j] * size) * p / np.linalg.norm(p) if size > 0 else 0.0
+            l1, l2 = alpha * l1_ratio, alpha * (1 - l1_ratio)
+
+            def terms(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+                return _descend(x @ w, w.T @ w, l1, l2)
+
+            for _ in range(passes):
+                def sums(x: np.ndarray, w: np.ndarray = w) -> np.ndarray:
+                    h = terms(x, w)
+                    return np.concatenate(((h.T @ h).ravel(), (x.T @ h).ravel()))
+
+                got = total(sums)
+                before, w = w, _descend(got[k * k :].reshape(n, k), got[: k * k].reshape(k, k), l1, l2, w)
+                if np.linalg.norm(w - before) <= 1e-3 * (np.linalg.norm(before) + 1e-12):
+                    break
+
+            def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                rows: list[tuple[int, float, str]] = []
+                for names_, x in blocks(batches):
+                    h = terms(x, w)
+                    rows += [(j, float(h[t, j]), names_[t]) for j in range(k) for t in sorted(range(len(names_)), key=lambda t: (-h[t, j], names_[t]))[:n_words]]
+                kept = [r for j in range(k) for r in sorted((r for r in rows if r[0] == j), key=lambda r: (-r[1], r[2]))[:n_words]]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in kept], t) for i, t in enumerate((pa.int32(), pa.float64(), pa.string()))], names=["j", "h", "term"])
+
+            top = sorted((tuple(r) for r in columns.mapInArrow(best, "j int, h double, term string").collect()), key=lambda r: (r[0], -r[1], r[2]))
+            said = [" ".join([t for i, _, t in top if i == j][:n_words]) for j in range(k)]
+        finally:
+            kept.unpersist()
+        return spark.createDataFrame([(names[i], j, float(w[i, j]), said[j]) for i in range(n) for j in range(k)], schema)
+    finally:
+        weights.unpersist()
+
+
 def lda_topics(docs: DataFrame, key: str, text: str, k: int, n_words: int, seed: int = 0, stop_words: list[str] = ()) -> DataFrame:
     """``topic, rank, term, weight``: online variational Bayes, five passes, over word counts without ``stop_words``.
 

@@ -245,3 +245,32 @@ def test_spread_looks_at_files_only(spark, small, tmp_path):
     scan = spark.read.parquet(f"{small}/documents.parquet")
     assert spread(scan) is not scan
     assert set(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - set(before) <= {max(spark.sparkContext.statusTracker().getJobIdsForGroup(None), default=0)}
+
+
+def test_distributed_factorisation_is_as_good_as_the_dense_one(spark):
+    import random
+
+    rng = random.Random(1)
+    themes = [[f"{c}{i}" for i in range(30)] for c in ("law", "sea", "farm", "art")]
+    docs = [(f"d{i}", " ".join(rng.choice(themes[i % 4] if rng.random() < 0.8 else rng.choice(themes)) for _ in range(200))) for i in range(24)] + [("none", ""), ("null", None)]
+    d = spark.createDataFrame(docs, "doc string, text string").repartition(5)
+    got = topics.nmf_few_documents(d, "doc", "text", 4).collect()
+    names = sorted({r.doc for r in got})
+    w = np.zeros((len(names), 4))
+    for r in got:
+        w[names.index(r.doc), r.topic_idx] = r.weight
+    long = topics.tfidf(d.where("text is not null"), "doc", "text").collect()
+    vocabulary = sorted({r.term for r in long})
+    x = np.zeros((len(names), len(vocabulary)))
+    for r in long:
+        x[names.index(r.doc), vocabulary.index(r.term)] = r.tfidf
+
+    def cost(w, h):
+        return 0.5 * np.sum((x - w @ h) ** 2) + 0.05 * (w.sum() + h.sum()) + 0.025 * (np.sum(w**2) + np.sum(h**2))
+
+    h = topics._descend(x.T @ w, w.T @ w, 0.05, 0.05).T
+    assert cost(w, h) <= 1.01 * cost(*topics.factorize(x, 4))
+    assert {tuple(sorted({t[:2] for t in r.words.split()})) for r in got} == {("la",), ("se",), ("fa",), ("ar",)}
+    with pytest.raises(ValueError):
+        topics.nmf_few_documents(d, "doc", "text", 4, max_docs=3)
+    assert topics.nmf_few_documents(d.limit(0), "doc", "text", 4).count() == 0
