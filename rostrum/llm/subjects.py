@@ -6,6 +6,7 @@ import math
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -82,12 +83,13 @@ class Count:
         return math.log((k + 0.5) / (n - k + 0.5)) - math.log(prior / (1 - prior) if prior < 1 else 1.0)
 
 
-def grow(rows: list[tuple[tuple[int, ...], tuple[int, ...], bool, int]], suffix: tuple[int, ...], least: int, sure: float) -> Iterator[tuple[tuple[int, ...], int, Count]]:
+def grow(rows: list[tuple[tuple[int, ...], tuple[int, ...], bool, int]], suffix: tuple[int, ...], least: int, sure: float, improvement: float, before: dict[int, float]) -> Iterator[tuple[tuple[int, ...], int, Count]]:
     """The frequent antecedents that end in ``suffix``, with their classes and counts.
 
     ``rows`` are the conditional transactions (words before the suffix in the order of frequency, classes, held out or
-    not, how many). A set is grown further only while a class of it is frequent and not yet ``sure``, as longer
-    antecedents could not be surer by more than the required improvement. Their length has no bound.
+    not, how many), ``before`` the confidences of the suffix. A set is grown further only while a class of it is frequent, surer
+    than in the suffix by ``improvement``, and not yet ``sure``, as longer antecedents could not be surer by that much. So their
+    length has no set bound, but each word must have bettered the rule.
     """
     found: dict[int, list] = defaultdict(lambda: [0, 0, defaultdict(lambda: [0, 0])])
     for words_, classes, held, times in rows:
@@ -102,8 +104,9 @@ def grow(rows: list[tuple[tuple[int, ...], tuple[int, ...], bool, int]], suffix:
         frequent = {c: k for c, k in by.items() if k[0] >= least}
         for c, (k, kh) in frequent.items():
             yield (x, *suffix), c, Count(n, k, (h, kh))
-        if any(k < sure * n for k, _ in frequent.values()):
-            yield from grow([(w[: w.index(x)], cs, held, t) for w, cs, held, t in rows if x in w and w[0] != x], (x, *suffix), least, sure)
+        if any(before.get(c, 0.0) + improvement < k / n < sure for c, (k, _) in frequent.items()):
+            shorter = [(w[: w.index(x)], cs, held, t) for w, cs, held, t in rows if x in w and w[0] != x]
+            yield from grow(shorter, (x, *suffix), least, sure, improvement, {c: k / n for c, (k, _) in frequent.items()})
 
 
 def mine(parts: DataFrame, labels: DataFrame, areas: DataFrame, s: Settings = Settings()) -> Rules:
@@ -152,7 +155,7 @@ def mine(parts: DataFrame, labels: DataFrame, areas: DataFrame, s: Settings = Se
             of_words = {number[c["c"]]: Count(r["n"], c["n"], (r["h"], c["h"])) for c in r["by"] if c["n"] >= least or (c["d"] and r["n"] < least)}
             if of_words:
                 counts[(i,)] = of_words
-            near.append(any(k.k < (1 - s.improvement) * k.n for k in of_words.values()))
+            near.append({c: k.k / k.n for c, k in of_words.items()})
             if r["n"] >= least:
                 frequent[r["w"]] = i
         shared = spark.sparkContext.broadcast((frequent, number, near))
@@ -165,7 +168,7 @@ def mine(parts: DataFrame, labels: DataFrame, areas: DataFrame, s: Settings = Se
                     items = sorted(known[w] for w in ws if w in known)
                     cs = [number_of[c] for c in cs]
                     for j in range(1, len(items)):
-                        if grows[items[j]]:
+                        if any(c < 1 - s.improvement for c in grows[items[j]].values()):
                             for column, value in zip(out, (items[j], items[:j], cs, h)):
                                 column.append(value)
                 kinds = (pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.bool_())
@@ -176,7 +179,7 @@ def mine(parts: DataFrame, labels: DataFrame, areas: DataFrame, s: Settings = Se
             times: dict[tuple, int] = defaultdict(int)
             for ws, cs, h in zip(group.column("before").to_pylist(), group.column("classes").to_pylist(), group.column("held").to_pylist()):
                 times[tuple(ws), tuple(cs), h] += 1
-            got = list(grow([(*k, t) for k, t in times.items()], (last,), least, 1 - s.improvement))
+            got = list(grow([(*k, t) for k, t in times.items()], (last,), least, 1 - s.improvement, s.improvement, shared.value[2][last]))
             return pa.table({"a": pa.array([a for a, _, _ in got], pa.list_(pa.int32())), **{n: pa.array(v, pa.int64()) for n, v in (("c", [c for _, c, _ in got]), ("n", [x.n for *_, x in got]), ("k", [x.k for *_, x in got]), ("nh", [x.held[0] for *_, x in got]), ("kh", [x.held[1] for *_, x in got]))}})
 
         sent = rows.select("items", "subjects", "held").mapInArrow(conditional, "item int, before array<int>, classes array<int>, held boolean")
@@ -201,11 +204,11 @@ def mine(parts: DataFrame, labels: DataFrame, areas: DataFrame, s: Settings = Se
 
 def _redundant(a: tuple[int, ...], c: int, x: Count, counts: dict[tuple[int, ...], dict[int, Count]], improvement: float) -> bool:
     """Whether a rule of fewer of the words is as sure, but for ``improvement``."""
-    for i in range(len(a)) if len(a) > 1 else ():
-        shorter = a[:i] + a[i + 1 :]
-        less = counts.get(shorter, {}).get(c)
-        if less is not None and x.k / x.n <= less.k / less.n + improvement or _redundant(shorter, c, x, counts, improvement):
-            return True
+    for size in range(1, len(a)):
+        for shorter in combinations(a, size):
+            less = counts.get(shorter, {}).get(c)
+            if less is not None and x.k / x.n <= less.k / less.n + improvement:
+                return True
     return False
 
 

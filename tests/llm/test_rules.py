@@ -11,7 +11,7 @@ def test_grown_sets_are_the_frequent_ones():
     got = {}
     for last in range(7):
         conditional = [(ws[: ws.index(last)], cs, h, t) for ws, cs, h, t in rows if last in ws]
-        for a, c, x in subjects.grow(conditional, (last,), 4, 2.0):  # no set is ever sure
+        for a, c, x in subjects.grow(conditional, (last,), 4, 2.0, -2.0, {}):  # no set is ever sure, and none needs to be better
             assert (a, c) not in got
             got[a, c] = x
     want = {}
@@ -24,6 +24,11 @@ def test_grown_sets_are_the_frequent_ones():
     assert got == want and any(len(a) > 2 for a, _ in got)
 
 
+def test_many_equal_paragraphs_do_not_grow_all_their_subsets():
+    rows = [(tuple(range(40)), (0, 1), False, 9), (tuple(range(20)), (1,), True, 5)]
+    assert len(list(subjects.grow(rows, (41,), 3, 0.98, 0.02, {0: 0.6, 1: 1.0}))) == 80 + 380
+
+
 def test_redundant_rules():
     counts = {(0,): {0: Count(10, 8)}, (1,): {0: Count(10, 5)}, (0, 1): {0: Count(8, 6)}, (0, 2): {0: Count(8, 8)}, (0, 1, 2): {0: Count(5, 5)}}
     redundant = {a: subjects._redundant(a, 0, counts[a][0], counts, 0.02) for a in counts}
